@@ -249,3 +249,8 @@ def unlabelled_languages(documents: DataFrame, profiles: tuple, lines: int = 5,
     kind = documents.schema[key].dataType.simpleString()
     named = documents.select(key, text, label_language(F.col(label)).alias("_named"))
     return named.mapInPandas(run, f"{key} {kind}, lang string").distinct()
+
+
+def sorted_counts(counts: str) -> Column:
+    """A map of counts as an array of (language, lines), by language."""
+    return F.array_sort(F.transform(F.map_entries(counts), lambda e: F.struct(e["key"].alias("language"), e["value"].alias("lines"))))

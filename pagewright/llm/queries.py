@@ -4,14 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, garbled, languages, lookalikes
 from pagewright.sources.tables import table
 
 
+def _dictionaries(spark: SparkSession, d: str) -> tuple:
+    return garbled.dictionaries_of(table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, field, block_no): values that hold characters other than the ordinary ones they look like."""
+    return lookalikes.differing_values(table(spark, d, "article"), _dictionaries(spark, d)).select("article_id", "field", "block_no")
+
+
+def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, title, byline, blocks): the consistent form of every title, byline and block."""
+    a = table(spark, d, "article").select("article_id", "title", "byline", "plain_text").distinct()
+    return lookalikes.consistent_articles(a)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, field, block_no): wrongly decoded titles and blocks."""
+    return garbled.restored_values(table(spark, d, "article"), _dictionaries(spark, d)).select("article_id", "field", "block_no")
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, field, block_no, value, restored, chain): wrongly decoded values with what could be had back."""
+    return garbled.restored_values(table(spark, d, "article"), _dictionaries(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids): the ids of each document by byte_bpe_50k."""
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
-ORACLES: dict[str, str] = {}
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the documents back from their ids."""
+    return bpe.decode_ids(p8_ids(spark, d))
+
+
+def _profiles(spark: SparkSession, d: str) -> tuple:
+    return languages.profiles_of(table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lang): each document and language that holds five lines of it or more and that its label doesn't name."""
+    return languages.unlabelled_languages(table(spark, d, "documents"), _profiles(spark, d))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language, confidence, lines by language and stretches of one language."""
+    return languages.document_languages(table(spark, d, "documents"), _profiles(spark, d)).select(
+        "doc_id", "language", "confidence", languages.sorted_counts("line_counts").alias("line_counts"), "segments"
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
