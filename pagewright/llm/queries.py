@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, garbled, languages, lookalikes
+from pagewright.llm import bpe, garbled, languages, lookalikes, residue
 from pagewright.sources.tables import table
 
 
@@ -23,6 +23,11 @@ def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_articles(a)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id): articles with a placeholder, filler, a message or a notice where real content belongs."""
+    return residue.residue_articles(table(spark, d, "article"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(article_id, field, block_no): wrongly decoded titles and blocks."""
     return garbled.restored_values(table(spark, d, "article"), _dictionaries(spark, d)).select("article_id", "field", "block_no")
@@ -59,5 +64,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
