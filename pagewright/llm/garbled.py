@@ -19,6 +19,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagewright.llm.alphabet import NON_ASCII, UNUSUAL
 
@@ -226,4 +227,5 @@ def restored_values(articles: DataFrame, dictionaries: tuple) -> DataFrame:
             yield out
 
     suspects = _suspects(values_of(articles, "title"))
-    return suspects.mapInPandas(run, suspects.schema.add("restored", "string").add("chain", "string")).distinct()
+    schema = StructType([*suspects.schema.fields, StructField("restored", StringType()), StructField("chain", StringType())])
+    return suspects.mapInPandas(run, schema).distinct()

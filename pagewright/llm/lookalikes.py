@@ -21,7 +21,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagewright.llm.alphabet import PICTURES
 from pagewright.llm.garbled import restorer, values_of
@@ -227,7 +227,7 @@ def differing_values(articles: DataFrame, dictionaries: tuple) -> DataFrame:
             out["consistent"] = [n for n, h in zip(new, hit) if h]
             yield out
 
-    schema = one.schema.add("consistent", "string")
+    schema = StructType([*one.schema.fields, StructField("consistent", StringType())])
     return one.mapInPandas(run, schema).distinct()
 
 
