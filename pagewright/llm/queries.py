@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, garbled, languages, lookalikes, residue
+from pagewright.llm import bpe, garbled, languages, lookalikes, markup, residue
 from pagewright.sources.tables import table
 
 
@@ -28,6 +28,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_articles(table(spark, d, "article"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, block_no): blocks whose text shows markup or entities."""
+    return markup.marked_articles(table(spark, d, "article"), markup.fit_on(table(spark, d, "lang_sample")))
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, block_no, text, clean): blocks that show markup with their clean text."""
+    return markup.marked_articles(table(spark, d, "article"), markup.fit_on(table(spark, d, "lang_sample")), convert=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(article_id, field, block_no): wrongly decoded titles and blocks."""
     return garbled.restored_values(table(spark, d, "article"), _dictionaries(spark, d)).select("article_id", "field", "block_no")
@@ -64,5 +74,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
