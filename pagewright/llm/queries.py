@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, garbled, languages, lookalikes, markup, residue
+from pagewright.llm import bpe, garbled, languages, lookalikes, markup, quality, residue
 from pagewright.sources.tables import table
 
 
@@ -28,6 +28,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_articles(table(spark, d, "article"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, block_no): blocks of 120 or more characters that are a list, a table or junk instead of sentences."""
+    return quality.other_than_prose(table(spark, d, "article"), table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics and the kind of each long block."""
+    return quality.block_kinds(table(spark, d, "article"), table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """(article_id, block_no): blocks whose text shows markup or entities."""
     return markup.marked_articles(table(spark, d, "article"), markup.fit_on(table(spark, d, "lang_sample")))
@@ -74,5 +84,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
