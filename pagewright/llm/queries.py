@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, garbled, languages, lookalikes, markup, quality, residue
+from pagewright.llm import boilerplate, bpe, garbled, languages, lookalikes, markup, quality, residue
 from pagewright.sources.tables import table
 
 
@@ -23,6 +23,16 @@ def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_articles(a)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, node_no): child elements of the root of plain_content that don't belong to the main body."""
+    return boilerplate.boilerplate_elements(table(spark, d, "article"), table(spark, d, "site"))
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, body): the main body of each article."""
+    return boilerplate.main_bodies(table(spark, d, "article"), table(spark, d, "site"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """(article_id): articles with a placeholder, filler, a message or a notice where real content belongs."""
     return residue.residue_articles(table(spark, d, "article"))
@@ -84,5 +94,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
