@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import boilerplate, bpe, garbled, languages, lookalikes, markup, quality, residue
+from pagewright.llm import boilerplate, bpe, garbled, languages, lookalikes, markup, packing, quality, residue
 from pagewright.sources.tables import table
 
 
@@ -78,6 +78,11 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode_ids(p8_ids(spark, d))
 
 
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    """(spec_id, doc_id, piece_no, first_token, tokens, container_id): the documents in containers of each specification."""
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "container_spec"))
+
+
 def _profiles(spark: SparkSession, d: str) -> tuple:
     return languages.profiles_of(table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
 
@@ -94,5 +99,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p9_packed, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
