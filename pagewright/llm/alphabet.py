@@ -20,7 +20,7 @@ LETTERS = {
 SIGNS = "«»“”„‘’‚‹›–—―…•·°§©®™€£¥¿¡№×±½¼¾µ′″†"
 SMALL = "".join(sorted({c for v in LETTERS.values() for c in v}))
 PLAIN = frozenset(map(chr, range(32, 127))) | set("\t\n\r") | set(SMALL) | set(SMALL.upper()) - {"S"} | set(SIGNS)
-PICTURES = "\U0001f000-\U0001faff☀-➿⬀-⯿"
+PICTURES = "\U0001f000-\U0001faff☀-➿⭐⭕"
 
 _escaped = "".join(map(re.escape, sorted(PLAIN)))
 #: A character beyond the ordinary ones.

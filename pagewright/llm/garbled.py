@@ -59,15 +59,27 @@ def _sequences(codec: str) -> re.Pattern:
     return re.compile(f"{_set(codec, 0xC2, 0xDF)}{c}|{_set(codec, 0xE0, 0xEF)}{c}{c}|{_set(codec, 0xF0, 0xF4)}{c}{c}{c}")
 
 
+_RUSSIAN = re.compile("[А-Яа-яЁё]")
+
+
 @lru_cache(None)
 def _any_sequence() -> re.Pattern:
-    """A lead and a following byte of UTF-8 under any of the encodings."""
-    return re.compile("|".join(f"{_set(c, 0xC2, 0xF4)}{_set(c, 0x80, 0xBF)}" for c in CODECS))
+    """A lead and a following byte of UTF-8 under any of the encodings that aren't two Russian letters."""
+    pick = lambda s, russian: "".join(re.escape(c) for c in s if bool(_RUSSIAN.match(c)) == russian)
+    out = []
+    for c in CODECS:
+        lead, cont = _decoded(c)[0xC2:0xF5], _decoded(c)[0x80:0xC0]
+        if other := pick(lead, False):
+            out.append(f"[{other}][{pick(cont, False)}{pick(cont, True)}]")
+        if russian := pick(lead, True):
+            out.append(f"[{russian}][{pick(cont, False)}]")
+    return re.compile("|".join(out))
 
 
 #: Within a word: a small letter before a capital one, where one of them isn't ASCII; many accented letters in a row.
 _BREAK = re.compile(r"[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]|[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}[a-zß-öø-ÿа-яё]")
 _ODD_BREAK = re.compile(r"[а-яё][А-ЯЁ]|[ß-öø-ÿ][À-ÖØ-Þ]|[А-ЯЁ]{2}[а-яё]|[à-öø-ÿ]{4}|[À-ÖØ-ß]{4}")
+_TWO_SCRIPTS = re.compile("[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
 _LOST = "�"
 #: Signs of the encodings' upper halves that ordinary text doesn't hold; the plain no-break blank and hyphen are not among them.
 _HALF = frozenset(c for k in CODECS for c in _decoded(k)[128:] if UNUSUAL.match(c)) - {"\u00a0", "\u00ad"}
@@ -77,7 +89,7 @@ def suspicious(text: str) -> bool:
     """A quick test that every wrongly decoded text passes, and few others."""
     if text.isascii():
         return False
-    if _LOST in text or _any_sequence().search(text) or _ODD_BREAK.search(text):
+    if _LOST in text or _any_sequence().search(text) or _ODD_BREAK.search(text) or _TWO_SCRIPTS.search(text):
         return True
     return not _HALF.isdisjoint(UNUSUAL.findall(text))
 
