@@ -77,12 +77,12 @@ CONTENT_TYPES = ("Unknown", "Reference", "Article", "Technical", "Error", "Minim
 # Characters -----------------------------------------------------------------------------------------------------
 #: Signs and their plain writing, applied after compatibility composition.
 REPLACEMENTS = {
-    "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "­": "", "•": "*", "‣": "*", "⁃": "*", "−": "-", "·": "*", "°": "degrees",
+    "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "\u00ad": "", "•": "*", "‣": "*", "⁃": "*", "−": "-", "·": "*", "°": "degrees",
     "®": "(R)", "©": "(C)", "¢": "c", "£": "GBP", "¥": "JPY", "€": "EUR", "÷": "/", "×": "x",
 }
 #: Names of entities and what they stand for.
 ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'", "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "copy": "©", "reg": "®",
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'", "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "copy": "©", "reg": "®",
     "trade": "™", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "'", "rsquo": "'", "ldquo": '"', "rdquo": '"', "bull": "•", "middot": "·",
     "plusmn": "±", "times": "×", "divide": "÷", "not": "¬", "micro": "µ", "para": "¶", "degree": "°", "frac14": "¼", "frac12": "½", "frac34": "¾",
     "iquest": "¿", "iexcl": "¡", "szlig": "ß", "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ",
