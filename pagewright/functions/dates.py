@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import Text, _c
@@ -115,6 +115,14 @@ def parse_flexible(value: Text) -> Column:
     return F.coalesce(parse_iso(t), parse_regional(t), parse_natural(t), parse_components(t))
 
 
+def with_dates(rows: DataFrame, value: str, name: str = "instant") -> DataFrame:
+    """The rows with the instant of a written date by all parsers in turn. Each parser is a projection of its own, so that the cleaned text is worked out once
+    and the generated code stays small."""
+    out = rows.withColumn("_text", cleanup_date(value)).withColumn("_iso", parse_iso("_text")).withColumn("_regional", parse_regional("_text"))
+    out = out.withColumn("_natural", parse_natural("_text")).withColumn("_parts", parse_components("_text"))
+    return out.withColumn(name, F.coalesce("_iso", "_regional", "_natural", "_parts")).drop("_text", "_iso", "_regional", "_natural", "_parts")
+
+
 def parse_relative(value: Text, as_of: Column) -> Column:
     """Phrases such as 2 days ago and yesterday, counted back from as_of; months of 30 and years of 365 days."""
     t = F.lower(_c(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -371,14 +373,11 @@ _TS = "strftime(expected, '%Y-%m-%dT%H:%M:%SZ')"
 def date_cases(spark, d):
     """The parsers' results on the reference vectors; the SQL gives the expected ones."""
     c = table(spark, d, "date_case")
-    at = (
-        F.when(F.col("parser") == "iso", D.parse_iso("date_str"))
-        .when(F.col("parser") == "regional", D.parse_regional("date_str"))
-        .when(F.col("parser") == "natural", D.parse_natural("date_str"))
-        .when(F.col("parser") == "components", D.parse_components("date_str"))
-        .otherwise(D.parse_flexible("date_str"))
-    )
-    return c.select("parser", "date_str", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
+    own = {"iso": D.parse_iso, "regional": D.parse_regional, "natural": D.parse_natural, "components": D.parse_components}
+    parts = [c.where(F.col("parser") == k).withColumn("instant", f("date_str")) for k, f in own.items()]
+    parts.append(D.with_dates(c.where(~F.col("parser").isin(*own)), "date_str"))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("parser", "date_str", F.date_format("instant", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
 
 
 @query("SELECT op, input, expected AS result FROM text_case")
