@@ -40,9 +40,7 @@ def parse_iso(value: Text) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    ok = m.between(1, 12) & d.between(1, 31)
-    first = F.when(ok, F.make_date(y, m, F.lit(1)))
-    return F.when(ok & (d <= F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
+    return F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("y-M-d")).cast("date")
 
 
 def _group(t: Column, pattern: str, i: int) -> Column:
