@@ -24,6 +24,10 @@ from pagewright.schema import NODE
 COUNTED = ("p", "img", "li", "input", "a", "h1", "h2", "h3", "h4", "h5", "h6", "object", "embed", "iframe", "tr", "td", "th", "table", "figure")
 
 
+#: Selectors up to which the table of them is sent to every executor.
+MOST_SELECTORS = 10_000
+
+
 def page_nodes(source: str, prepared: bool = True) -> list[dict]:
     """The elements of a page's body in document order, with their measures."""
     root = parse(source)
@@ -273,7 +277,8 @@ def selector_scores(nodes: DataFrame, selectors: DataFrame, key: str = "page_id"
     hit = (F.coalesce(F.col("s.tag") == F.col("n.tag"), F.lit(True))) & F.coalesce(
         F.contains(F.try_element_at("n.attrs", F.col("s.attribute")), F.col("s.word")), F.col("s.attribute").isNull()
     )
-    both = nodes.alias("n").join(F.broadcast(selectors.limit(10_000)).alias("s"), hit)
+    small = F.broadcast(selectors) if selectors.limit(MOST_SELECTORS + 1).count() <= MOST_SELECTORS else selectors
+    both = nodes.alias("n").join(small.alias("s"), hit)
     value = F.when(F.col("s.value_of") == "text", F.col("n.text")).otherwise(F.try_element_at("n.attrs", F.col("s.value_of")))
     found = both.select(F.col(f"n.{key}").alias(key), F.trim(value).alias("value"), "s.score", "s.selector").where("value != ''")
     return found.groupBy(key, "value").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("selector")).alias("selectors"))

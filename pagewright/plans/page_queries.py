@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import nodes as N
 from pagewright.operators.extract import extract_articles
+from pagewright.operators.simplify import restructured, simplified
 from pagewright.operators.pages import page_date_column, page_title_column
 from pagewright.options import ExtractOptions
 from pagewright.sources.tables import table
@@ -97,6 +98,29 @@ def typed_blocks(spark, d):
     return N.typed_blocks(_nodes(spark, d)).select("page_id", "kind", "level", "place", "text")
 
 
-_ALL = (extract_pages, extract_with_digests, page_titles, page_dates, page_text_blocks, dom_nodes, dom_headings, dom_links, node_index, candidate_scores, top_candidates, top_siblings, main_content, node_densities, table_kinds, page_images, typed_blocks)
+def simplified_pages(spark, d):
+    return _pages(spark, d).select("page_id", simplified("html").alias("html"))
+
+
+def restructured_pages(spark, d):
+    return _pages(spark, d).select("page_id", restructured("html").alias("html"))
+
+
+def dom_hrefs(spark, d):
+    """(page_id, href): addresses of links in the built tree; the SQL finds them in the markup."""
+    return N.links(_nodes(spark, d)).select("page_id", "href")
+
+
+def dom_item_texts(spark, d):
+    """(page_id, text): texts of menu items in the built tree; the SQL finds them in the markup."""
+    nodes = _nodes(spark, d).where((F.col("tag") == "li") & F.array_contains("path_tags", "nav"))
+    return nodes.select("page_id", "text").distinct()
+
+
+_ONCE = "(SELECT page_id, min(html) AS html FROM pages WHERE html IS NOT NULL GROUP BY page_id)"
+_ALL = (extract_pages, extract_with_digests, page_titles, page_dates, page_text_blocks, dom_nodes, dom_headings, dom_links, node_index, candidate_scores, top_candidates, top_siblings, main_content, node_densities, table_kinds, page_images, typed_blocks, simplified_pages, restructured_pages, dom_hrefs, dom_item_texts)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "dom_hrefs": f"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM {_ONCE}""",
+    "dom_item_texts": f"""SELECT DISTINCT page_id, regexp_replace(x, '<[^>]*>', '', 'g') AS text FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<li[^>]*>(.*?)</li>', 1)) AS x FROM {_ONCE})""",
+}

@@ -1,0 +1 @@
+"""Extraction on streams."""
