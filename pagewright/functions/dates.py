@@ -72,7 +72,7 @@ def parse_natural(value: Text) -> Column:
     t = F.lower(F.trim(_c(value)))
     forms = (
         (rf"{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}|\d{{2}})\b", 1, 2, 3),
-        (rf"(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}\.?,?\s+(\d{{4}}|\d{{2}})\b", 2, 1, 3),
+        (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}\.?,?\s+(\d{{4}}|\d{{2}})\b", 2, 1, 3),
         (rf"(\d{{4}})\s+{_MONTH}\.?\s+(\d{{1,2}})\b", 2, 3, 1),
     )
     out = []

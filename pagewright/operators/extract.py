@@ -392,7 +392,6 @@ class Page:
                 t.tag = "div"
 
     def clean_article(self, e: Node) -> None:
-        preserve = self.options.preserve_important_links
         for t in e.find_all("table"):
             t.attrs["data-table"] = "true" if M.table_class(t) == "data" else "false"
         self.flatten_tables(e)
@@ -403,7 +402,6 @@ class Page:
                 a.remove()
         self.clean_conditionally(e, "form", "fieldset")
         self._drop(e, "object", "embed")
-        links = [a.clone() for n in e.find_all("footer", "aside", "nav") for a in n.find_all("a") if M.is_important_link(a.text())] if preserve else []
         self._drop(e, "footer", "aside", "nav", "link")
         self.clean_headers(e)
         for n in e.find_all("div", "p", "ul", "section", "span"):
@@ -421,18 +419,6 @@ class Page:
                 rest = [c for c in br.parent.children[br.index() + 1 :] if not _blank(c)]
                 if rest and isinstance(rest[0], Node) and rest[0].tag == "p":
                     br.remove()
-        if links:
-            section, seen = Node("div"), set()
-            heading = Node("h2")
-            heading.append("Additional Links")
-            section.append(heading)
-            for a in links:
-                if a.get("href") not in seen:
-                    seen.add(a.get("href"))
-                    p = Node("p")
-                    p.append(a)
-                    section.append(p)
-            e.append(section)
 
     @staticmethod
     def _drop(e: Node, *tags: str) -> None:
@@ -517,6 +503,22 @@ def _fix_links(e: Node, base: str) -> None:
                 n.attrs["srcset"] = re.sub(r"(\S+)(\s+[\d.]+[xw])?(\s*(?:,|$))", lambda m: urljoin(base, m[1]) + (m[2] or "") + m[3], n.get("srcset"))
 
 
+def _append_links(e: Node, links: list[Node]) -> None:
+    """Puts links that the article doesn't hold, each address once, into a section at its end."""
+    seen, section = {a.get("href") for a in e.find_all("a")}, Node("div")
+    heading = Node("h2")
+    heading.append("Additional Links")
+    section.append(heading)
+    for a in links:
+        if a.get("href") not in seen:
+            seen.add(a.get("href"))
+            p = Node("p")
+            p.append(a)
+            section.append(p)
+    if len(section.children) > 1:
+        e.append(section)
+
+
 def _simplify(e: Node) -> None:
     for n in e.find_all("div", "section"):
         if n.parent is None or n.get("id").startswith("readability"):
@@ -631,8 +633,10 @@ def extract_page(source: str | None, options: ExtractOptions = ExtractOptions(),
         meta = metadata(root)
         body_text = body_of(root).raw_text().lower()
         prepare(root)
+        kept = [a.clone() for a in body_of(root).find_all("a") if M.is_important_link(a.text())] if options.preserve_important_links else []
         page = Page(root, meta, options, deadline)
         article = page.article()
+        _append_links(article, kept)
         _fix_links(article, base)
         _simplify(article)
         excerpt = meta["excerpt"] or next((t for p in article.find_all("p") if (t := p.text())), "")
