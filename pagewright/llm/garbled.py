@@ -25,8 +25,10 @@ from pagewright.llm.alphabet import NON_ASCII, UNUSUAL
 
 #: Single-byte encodings that text was read with, or written in.
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "iso8859-15")
+#: Bytes that a break of case within a word costs.
+COST_BREAK = 1.5
 #: Bytes that a chain costs: UTF-8 repaired, one more level of it, and an exchange of single-byte encodings.
-COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 3.0
+COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 2.0
 #: Labelled sentences and words that dictionaries are made from, at most.
 TRAINING_ROWS = 50_000
 LEVELS = 3
@@ -78,7 +80,7 @@ def _any_sequence() -> re.Pattern:
 
 #: Within a word: a small letter before a capital one, where one of them isn't ASCII; many accented letters in a row.
 _BREAK = re.compile(r"[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]|[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}[a-zß-öø-ÿа-яё]")
-_ODD_BREAK = re.compile(r"[а-яё][А-ЯЁ]|[ß-öø-ÿ][À-ÖØ-Þ]|[А-ЯЁ]{2}[а-яё]|[à-öø-ÿ]{4}|[À-ÖØ-ß]{4}")
+_ODD_BREAK = re.compile(r"[а-яё][А-ЯЁ]|[a-zß-öø-ÿ][À-ÖØ-Þ]|[А-ЯЁ]{2}[а-яё]|[à-öø-ÿ]{4}|[À-ÖØ-ß]{4}")
 _TWO_SCRIPTS = re.compile("[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
 _LOST = "�"
 #: Signs of the encodings' upper halves that ordinary text doesn't hold; the plain no-break blank and hyphen are not among them.
@@ -112,6 +114,10 @@ def _repair(text: str, codec: str) -> str:
 _RARE = re.compile("[\u00a0\u00ad\u0300-\u036f\u200b-\u200f\u2000-\u200a\u202f\u3000\ufe0f\ufeff\u0391-\u03c9]")
 
 
+#: Those of them that a restored text may hold anew.
+_FINE = re.compile("[\u00a0\u00ad\u200b-\u200f\u2000-\u200a\u202f\u3000\ufe0f\ufeff\u0386-\u03ce]")
+
+
 @lru_cache(1)
 def _parts() -> frozenset:
     return frozenset(c for k in ("cp1252", "latin-1", "cp437", "mac-roman", "cp1251", "cp1250") for c in _decoded(k)[128:])
@@ -180,13 +186,14 @@ class Restorer:
             return text, "lost" if _LOST in text else ""
         ascii_part = NON_ASCII.sub("", text)
         lang = min(self.latin, key=lambda k: (self.length(ascii_part, k), k)) if self.latin else None
-        breaks, best = len(_BREAK.findall(text)), None
+        breaks, odd, best = len(_BREAK.findall(text)), set(UNUSUAL.findall(text)), None
         for t, (cost, chain) in found.items():
             letters = NON_ASCII.findall(t)
             russian = sum("а" <= c.lower() <= "ё" for c in letters) * 3 > len(t)
-            if t is not text and (len(_BREAK.findall(t)) > breaks or len(UNUSUAL.findall(t)) > len(UNUSUAL.findall(text))):
+            new = set(UNUSUAL.findall(t)) - odd
+            if t is not text and (len(_BREAK.findall(t)) > breaks or not all(map(_FINE.match, new))):
                 continue
-            size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost
+            size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost + COST_BREAK * len(_BREAK.findall(t))
             if best is None or (size, cost) < best[:2]:
                 best = (size, cost, t, chain)
         return best[2], best[3].strip() or ("lost" if _LOST in text else "")

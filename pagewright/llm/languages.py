@@ -70,7 +70,7 @@ def _grams(c: np.ndarray) -> np.ndarray:
     """Numbers of the n-grams of a row of classes, which begins and ends with 0: three rows for three, two and one letters, -1 for none."""
     a, b, d = c[:-2].astype(np.int32), c[1:-1].astype(np.int32), c[2:].astype(np.int32)
     three = np.where((b > 0) & ((a > 0) | (d > 0)), (a * _W + b) * _W + d, -1)
-    two = np.where((b > 0) | (d > 0), (_PAD * _W + b) * _W + d, -1)
+    two = np.where((a > 0) | (b > 0), (_PAD * _W + a) * _W + b, -1)
     one = np.where(b > 0, (_PAD * _W + _PAD) * _W + b, -1)
     return np.stack([three, two, one])
 
@@ -79,10 +79,10 @@ def fit_profiles(samples: list[tuple[str, str]], words: list[tuple[str, str, int
     """For each language the numbers of its n-grams, most frequent first; ties by number."""
     counts: dict[str, Counter] = {}
     for lang, text in samples:
-        g = _grams(np.concatenate([[0], classes_of(text), [0]]).astype(np.uint8)).ravel()
+        g = _grams(np.concatenate([[0], classes_of(text), [0, 0]]).astype(np.uint8)).ravel()
         counts.setdefault(lang, Counter()).update(g[g >= 0].tolist())
     for lang, word, rank in words:
-        g = _grams(np.concatenate([[0], classes_of(word), [0]]).astype(np.uint8)).ravel()
+        g = _grams(np.concatenate([[0], classes_of(word), [0, 0]]).astype(np.uint8)).ravel()
         weight = 40 / (8 + (rank or 50))
         for i in g[g >= 0].tolist():
             counts.setdefault(lang, Counter())[i] += weight
@@ -126,11 +126,11 @@ class Scorer:
         out, group, size = [], [], 0
         for t in [*texts, None]:
             if group and (t is None or size + len(t) > SLICE):
-                c = np.concatenate([[0], classes_of("\n".join(group)), [0]]).astype(np.uint8)
+                whole = "".join([f"{t}\n" for t in group])
+                c = np.concatenate([[0], classes_of(whole), [0]]).astype(np.uint8)
                 lines = [t.count("\n") + 1 for t in group]
-                codes = "\n".join(group)
-                breaks = np.flatnonzero(np.frombuffer(codes.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-                starts = np.concatenate([[1], breaks + 2])
+                breaks = np.flatnonzero(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+                starts = np.concatenate([[1], breaks[:-1] + 2])
                 sums, numbers = self.line_sums(c, starts)
                 mean = sums / np.maximum(numbers, 1)[:, None]
                 at = 0

@@ -99,7 +99,7 @@ def _messages() -> re.Pattern:
     listed = []
     for lines in MESSAGES.values():
         for m in re.split(r"[|\n]", lines):
-            listed.append(re.escape(m).replace("§", ".{1,80}").replace(r"\ ", r"\s+").replace("0", r"\d+"))
+            listed.append(re.escape(m).replace(r"\ ", r"\s+").replace("0", r"\d+").replace("§", ".{1,80}"))
     return re.compile(rf"(?:(?:{'|'.join(listed)})\s*)+|{EMPTY_VALUES}|{'|'.join(FURTHER)}", re.I)
 
 
