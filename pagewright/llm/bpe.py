@@ -7,7 +7,7 @@ rules gives just these two tokens, else the next shorter token is tried and at l
 token before is taken back. The result equals that of the merges in order. Pieces recur, so
 a worker keeps the ids of up to MEMO pieces and starts anew when they are full.
 
-Defined results: null text gives null, empty text an empty list.
+Defined results: empty and null texts have no tokens and give an empty list.
 """
 
 from __future__ import annotations
@@ -205,16 +205,14 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
         vocabulary = load_json(name, directory)
         pieces, known, ids_of = vocabulary.pieces, vocabulary.known, vocabulary.piece_ids
         for batch in batches:
-            flat, ends, nulls = array("i"), [0], []
+            flat, ends = array("i"), [0]
             for t in batch.column(1).to_pylist():
-                if t is not None:
-                    for p in pieces(t):
-                        flat.extend(known.get(p) or ids_of(p))
-                nulls.append(t is None)
+                for p in pieces(t) if t else ():
+                    flat.extend(known.get(p) or ids_of(p))
                 ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
-            offsets = pa.array(np.array(ends, np.int32), mask=np.array([*nulls, False]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], [key, "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")

@@ -74,7 +74,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): the documents back from their ids."""
+    """(doc_id, text): the documents back from their ids; a null text comes back empty."""
     return bpe.decode_ids(p8_ids(spark, d))
 
 
@@ -100,4 +100,4 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p9_packed, p10_found, p10_languages)}
-ORACLES = {"p8_decoded": "SELECT doc_id, text FROM documents"}
+ORACLES = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
