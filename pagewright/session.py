@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,3 +18,27 @@ def cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
     return df.checkpoint()
+
+
+@cache
+def _archive(application: str) -> str:
+    """The package as a zip archive on the driver's machine, from where Spark hands it to the executors."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pagewright-code-"), "pagewright.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    return path
+
+
+@cache
+def _ship(application: str) -> None:
+    SparkSession.getActiveSession().sparkContext.addPyFile(_archive(application))
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package known to the Python workers of all executors, wherever they run; once for each application."""
+    _ship(spark.sparkContext.applicationId)
