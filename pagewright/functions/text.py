@@ -213,6 +213,19 @@ def has_word(value: Text, listed: tuple[str, ...]) -> Column:
     return F.lower(_c(value)).rlike("|".join(re.escape(w) for w in listed))
 
 
+def clean_title(value: Text) -> Column:
+    """A title without a short first or last part, by the first separator that sets one apart."""
+    t = get_normalized(value)
+    out = t
+    for sep in reversed((" | ", " - ", " :: ", " / ", " » ")):
+        parts = F.split(t, "[|]".join(sep.split("|")))
+        n = F.size(parts)
+        last, first = F.octet_length(F.element_at(parts, -1)) < 10, F.octet_length(F.element_at(parts, 1)) < 10
+        own = F.when(last, F.array_join(F.slice(parts, F.lit(1), n - 1), sep)).when(first, F.array_join(F.slice(parts, F.lit(2), n - 1), sep))
+        out = F.when((n > 1) & (last | first), F.trim(own)).otherwise(out)
+    return out
+
+
 def is_error_page(title: Text, body: Text) -> Column:
     t, b = F.lower(_c(title)), F.lower(_c(body))
     return t.contains("not found") | t.contains("error page") | b.contains("page not found") | b.contains("404 error") | b.contains("error 404")

@@ -365,6 +365,19 @@ def pages_without_content(spark, d):
     return _pages(spark, d).select("page_id").subtract(table(spark, d, "article").where("content IS NOT NULL").select("page_id"))
 
 
+_TITLE = "trim(regexp_replace(title, '[ \\t\\n\\r\\f\\x0B]{2,}', ' ', 'g'))"
+_CLEAN = "t"
+for _s in (" » ", " / ", " :: ", " - ", " | "):
+    _p = f"string_split(t, '{_s}')"
+    _CLEAN = f"CASE WHEN len({_p}) > 1 AND strlen({_p}[-1]) < 10 THEN trim(array_to_string({_p}[1:-2], '{_s}')) WHEN len({_p}) > 1 AND strlen({_p}[1]) < 10 THEN trim(array_to_string({_p}[2:], '{_s}')) ELSE {_CLEAN} END"
+
+
+@query(f"SELECT article_id, {_CLEAN} AS title FROM (SELECT DISTINCT article_id, {_TITLE} AS t FROM article WHERE title IS NOT NULL)")
+def article_clean_titles(spark, d):
+    a = table(spark, d, "article").where("title IS NOT NULL").select("article_id", "title").distinct()
+    return a.select("article_id", T.clean_title("title").alias("title"))
+
+
 # Dates ----------------------------------------------------------------------------------------------------------------
 _TS = "strftime(expected, '%Y-%m-%dT%H:%M:%SZ')"
 

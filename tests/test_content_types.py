@@ -1,0 +1,50 @@
+import pytest
+
+from pagewright.operators import content_types as C
+from pagewright.operators.dom import body_of, parse
+
+
+def test_error_page():
+    out = C.cleaned_by_type("<nav>x</nav><h1>Gone</h1><p>It is</p><p>not here.</p>", 4)
+    assert "<nav>" not in out and "It is not here." in out and 'href="/"' in out
+    assert "does not exist" in C.cleaned_by_type("<h1>Gone</h1>", 4)
+
+
+def test_minimal_page():
+    page = '<h1>Sign in</h1><div class="ad">buy</div><div><form><input type="password" name="p"></form></div><p class="alert">Wrong password</p><a href="/news">News</a>'
+    out = C.cleaned_by_type(page, 5)
+    assert "<form>" in out and "Sign in" in out and "Wrong password" in out and "News" not in out and "buy" not in out
+    out = C.cleaned_by_type('<aside>x</aside><main><h1>A</h1><p>text</p><p>more</p></main><div class="share">s</div>', 5)
+    assert "<h1>A</h1>" in out and "<aside>" not in out and "share" not in out
+
+
+def test_paywall():
+    out = C.cleaned_by_type('<div class="paywall">pay</div><p class="premium blurred" style="opacity: .2">text</p><div class="subscribe-cta">x</div><h2>h</h2>', 6)
+    assert "pay<" not in out and "subscribe" not in out and "opacity" not in out and "text" in out and C.PRESERVE in out
+
+
+def test_technical():
+    body = body_of(parse("<div><div><pre>x = 1</pre></div></div><p>plain</p>"))
+    C.mark_code(body)
+    assert C.is_preserved(body.find("pre")) and C.is_preserved(body.find("div")) and not C.is_preserved(body.find("p"))
+
+
+def test_other_types_stay(spark):
+    assert C.cleaned_by_type("<p>x</p>", 2) == "<p>x</p>"
+    df = spark.createDataFrame([("<h1>a</h1>", 4), ("<p>x</p>", None), (None, 4)], "html string, kind int")
+    got = [r[0] for r in df.select(C.cleaned_by_type_column("html", "kind")).collect()]
+    assert got[1] == "<p>x</p>" and got[2] is None and "homepage" in got[0]
+
+
+@pytest.mark.parametrize("code, name", [(0, "Unknown"), (2, "Article"), (6, "Paywall"), (9, "Unknown")])
+def test_names(code, name):
+    assert C.type_name(code) == name
+
+
+def test_metadata():
+    root = parse('<meta property="og:title" content=" T "><base href="https://a.example/some-page_one.html"><div><p>x</p><p class="byline">Ann Lee</p></div>')
+    assert C.meta_field(root, "title") == "T" and C.meta_field(root, "author", "none") == "none"
+    assert C.root_title(root) == "T" and C.root_title(parse('<base href="/some-page_one.html">')) == "Some Page One"
+    p = body_of(root).find("p")
+    assert C.adjacent_byline(p) == "Ann Lee" and C.adjacent_byline(parse("<p>x</p>").find("p")) == ""
+    assert C.text_density(body_of(root), "p") > 0.8 and C.text_density(body_of(root)) == 0.0
