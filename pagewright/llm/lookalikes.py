@@ -169,9 +169,12 @@ def _words(text: str) -> str:
         after.append(last)
         last = s or last
     after.reverse()
+    mixed = any(s == "cyrillic" and any(script_of(c) == "latin" for c in m[0] if c.isalpha()) for m, (s, _) in zip(found, scripts))
     out, at = [], 0
     for m, (script, open_), b, a in zip(found, scripts, before, after):
         target = script or (open_ and ((b if b == a else None) if b and a else b or a)) or None
+        if target == "cyrillic" and len(m[0]) == 1 and m[0].isupper() and not mixed:
+            continue  # a lone capital letter, as a mark or a grade
         if target in ("latin", "cyrillic"):
             table = likenesses()[target]
             word = "".join(table.get(c, c) if script_of(c) != target or c in _FORMS_OF_LATIN else c for c in m[0])
