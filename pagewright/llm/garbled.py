@@ -6,8 +6,8 @@ as another. Each candidate's description length is its size after compression wi
 the cost of the chain; the shortest is chosen, and the text is left unchanged where no chain is shorter. A candidate with
 characters outside ordinary text of the supported languages, or with more breaks of case than the text, is no candidate.
 
-Defined results: null and empty text is unaffected; text with replacement characters is affected and can't be wholly
-restored, so the restored text keeps them.
+Defined results: null and empty text is unaffected; text with replacement characters, or with signs within words that
+no candidate explains, is affected and can't be wholly restored, so the restored text keeps them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pagewright.llm.alphabet import NON_ASCII, UNUSUAL
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "iso8859-15")
 #: Bytes that a break of case within a word costs.
 COST_BREAK = 1.5
+#: Bytes that a sign costs that no ordinary text holds and that isn't a look-alike letter.
+COST_ODD = 2.0
 #: Bytes that a chain costs: UTF-8 repaired, one more level of it, and an exchange of single-byte encodings.
 COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 2.0
 #: Labelled sentences and words that dictionaries are made from, at most.
@@ -87,6 +89,15 @@ _LOST = "�"
 _HALF = frozenset(c for k in CODECS for c in _decoded(k)[128:] if UNUSUAL.match(c)) - {"\u00a0", "\u00ad"}
 
 
+#: Those of them that aren't letters of Cyrillic, nor of Greek with a Latin likeness, nor ligatures.
+_ODD = frozenset(c for c in _HALF if not "\u0400" <= c <= "\u052f") - frozenset("αγιουνρτχΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ")
+_IN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ](?:" + "|".join(map(re.escape, sorted(c for c in _ODD if not c.isalpha()))) + ")[A-Za-zÀ-ÖØ-öø-ÿ]")
+
+
+def odd_signs(text: str) -> int:
+    return sum(c in _ODD for c in UNUSUAL.findall(text))
+
+
 def suspicious(text: str) -> bool:
     """A quick test that every wrongly decoded text passes, and few others."""
     if text.isascii():
@@ -183,20 +194,22 @@ class Restorer:
             return text, ""
         found = candidates(text)
         if len(found) == 1:
-            return text, "lost" if _LOST in text else ""
+            return text, "lost" if _LOST in text or _IN_WORD.search(text) else ""
         ascii_part = NON_ASCII.sub("", text)
         lang = min(self.latin, key=lambda k: (self.length(ascii_part, k), k)) if self.latin else None
         breaks, odd, best = len(_BREAK.findall(text)), set(UNUSUAL.findall(text)), None
+        mixed = len(_TWO_SCRIPTS.findall(text))
         for t, (cost, chain) in found.items():
             letters = NON_ASCII.findall(t)
             russian = sum("а" <= c.lower() <= "ё" for c in letters) * 3 > len(t)
             new = set(UNUSUAL.findall(t)) - odd
             if t is not text and (len(_BREAK.findall(t)) > breaks or not all(map(_FINE.match, new))):
                 continue
-            size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost + COST_BREAK * len(_BREAK.findall(t))
+            size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost + COST_BREAK * len(_BREAK.findall(t)) + COST_ODD * odd_signs(t)
+            size += COST_ODD * max(0, len(_TWO_SCRIPTS.findall(t)) - mixed)
             if best is None or (size, cost) < best[:2]:
                 best = (size, cost, t, chain)
-        return best[2], best[3].strip() or ("lost" if _LOST in text else "")
+        return best[2], best[3].strip() or ("lost" if _LOST in text or _IN_WORD.search(text) else "")
 
     def affected(self, text: str | None) -> bool:
         return bool(text) and suspicious(text) and bool(self.restore(text)[1])
