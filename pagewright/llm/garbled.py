@@ -25,15 +25,18 @@ from pagewright.llm.alphabet import NON_ASCII, UNUSUAL
 
 #: Single-byte encodings that text was read with, or written in.
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "iso8859-15")
-#: Bytes that a break of case within a word costs.
+#: Bytes that a break of case within a word costs, and a run of signs that would be UTF-8 under a common encoding.
 COST_BREAK = 1.5
 #: Bytes that a sign costs that no ordinary text holds and that isn't a look-alike letter.
 COST_ODD = 2.0
 #: Bytes that a chain costs: UTF-8 repaired, one more level of it, and an exchange of single-byte encodings.
 COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 2.0
+#: Bytes that an exchange costs where no odd sign or break tells of one.
+COST_UNFOUNDED = 4.0
 #: Labelled sentences and words that dictionaries are made from, at most.
 TRAINING_ROWS = 50_000
 LEVELS = 3
+CYRILLIC = frozenset(("cp1251", "cp866", "koi8-r"))
 
 
 @lru_cache(None)
@@ -91,7 +94,10 @@ _HALF = frozenset(c for k in CODECS for c in _decoded(k)[128:] if UNUSUAL.match(
 
 #: Those of them that aren't letters of Cyrillic, nor of Greek with a Latin likeness, nor ligatures.
 _ODD = frozenset(c for c in _HALF if not "\u0400" <= c <= "\u052f") - frozenset("αγιουνρτχΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ")
-_IN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ](?:" + "|".join(map(re.escape, sorted(c for c in _ODD if not c.isalpha()))) + ")[A-Za-zÀ-ÖØ-öø-ÿ]")
+_IN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ](?:" + "|".join(map(re.escape, sorted(c for c in _ODD if not c.isalpha() or "\u0370" <= c <= "\u03ff"))) + ")[A-Za-zÀ-ÖØ-öø-ÿ]")
+
+
+_WITH_ODD = re.compile("[^\\s“”„«»‘’—–]*[" + "".join(map(re.escape, sorted(_ODD))) + "][^\\s“”„«»‘’—–]*")
 
 
 def odd_signs(text: str) -> int:
@@ -154,22 +160,25 @@ def candidates(text: str) -> dict[str, tuple[float, str]]:
                     following.append((r, c, out[r][1]))
         level = following
     if UNUSUAL.search(text) or _ODD_BREAK.search(text):
+        letters, odd = set(NON_ASCII.findall(text)), odd_signs(text) > 0 or bool(_ODD_BREAK.search(text))
         for read in CODECS:
             byte_of = _byte_of(read)
-            if all(c in byte_of for c in NON_ASCII.findall(text)):
-                raw = bytes(byte_of[c] for c in text if c in byte_of)
-                if len(raw) != len(text):
+            whole = letters <= byte_of.keys()
+            for written in CODECS:
+                table = _exchange(read, written)
+                r = text.translate(table) if whole else _WITH_ODD.sub(lambda m: m[0].translate(table) if byte_of.keys() >= set(m[0]) else m[0], text)  # noqa: B023
+                if r == text or r in out or (whole and UNUSUAL.search(r.replace("\u00a0", ""))):
+                    continue
+                if (read in CYRILLIC or written in CYRILLIC) and not _RUSSIAN.search(r):
                     continue
-                for written in CODECS:
-                    r = raw.decode("latin-1").translate(_exchange(written))
-                    if r != text and r not in out and not UNUSUAL.search(r.replace("\u00a0", "")):
-                        out[r] = (COST_EXCHANGE, f"{read}>{written} ")
+                out[r] = (COST_EXCHANGE if odd else COST_UNFOUNDED, f"{read}>{written} ")
     return out
 
 
 @lru_cache(None)
-def _exchange(codec: str) -> dict[int, str]:
-    return {b: c for b, c in enumerate(_decoded(codec))}
+def _exchange(read: str, written: str) -> dict[int, str]:
+    """What each character beyond ASCII that was read by one encoding is by another."""
+    return {ord(c): _decoded(written)[b] for c, b in _byte_of(read).items() if ord(c) > 127}
 
 
 class Restorer:
@@ -206,6 +215,7 @@ class Restorer:
             if t is not text and (len(_BREAK.findall(t)) > breaks or not all(map(_FINE.match, new))):
                 continue
             size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost + COST_BREAK * len(_BREAK.findall(t)) + COST_ODD * odd_signs(t)
+            size += COST_BREAK * (len(_sequences("cp1252").findall(t)) + len(_sequences("mac-roman").findall(t)))
             size += COST_ODD * max(0, len(_TWO_SCRIPTS.findall(t)) - mixed)
             if best is None or (size, cost) < best[:2]:
                 best = (size, cost, t, chain)
