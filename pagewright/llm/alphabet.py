@@ -22,7 +22,22 @@ SMALL = "".join(sorted({c for v in LETTERS.values() for c in v}))
 PLAIN = frozenset(map(chr, range(32, 127))) | set("\t\n\r") | set(SMALL) | set(SMALL.upper()) - {"S"} | set(SIGNS)
 PICTURES = "\U0001f000-\U0001faff☀-➿⭐⭕"
 
-_escaped = "".join(map(re.escape, sorted(PLAIN)))
-#: A character beyond the ordinary ones.
-UNUSUAL = re.compile(f"[^{_escaped}{PICTURES}]")
+_BEYOND = re.compile("[^" + "".join(map(re.escape, sorted(PLAIN))) + "]")
+_PICTURE = re.compile(f"[{PICTURES}]")
+
+
+class _Unusual:
+    """Characters beyond the ordinary ones and pictures. The class to search for has no ranges beyond the basic plane, which are slow."""
+
+    def findall(self, text: str) -> list[str]:
+        return [c for c in _BEYOND.findall(text) if not _PICTURE.match(c)]
+
+    def search(self, text: str) -> bool:
+        return bool(_BEYOND.search(text)) and bool(self.findall(text))
+
+    def match(self, c: str) -> bool:
+        return bool(_BEYOND.match(c)) and not _PICTURE.match(c)
+
+
+UNUSUAL = _Unusual()
 NON_ASCII = re.compile("[^\x00-\x7f]")

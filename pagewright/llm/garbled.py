@@ -87,6 +87,9 @@ def _any_sequence() -> re.Pattern:
 _BREAK = re.compile(r"[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]|[A-ZÀ-ÖØ-ÞА-ЯЁ]{2}[a-zß-öø-ÿа-яё]")
 _ODD_BREAK = re.compile(r"[а-яё][А-ЯЁ]|[a-zß-öø-ÿ][À-ÖØ-Þ]|[А-ЯЁ]{2}[а-яё]|[à-öø-ÿ]{4}|[À-ÖØ-ß]{4}")
 _TWO_SCRIPTS = re.compile("[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
+#: Quick tests that the patterns above can match at all.
+_PAIR = re.compile("[^\x00-\x7fА-Яа-яЁё][^\x00-\x7f]|[А-Яа-яЁё][^\x00-\x7fА-Яа-яЁё]")
+_CAPITAL = re.compile("[À-ÖØ-ÞА-ЯЁ]|[à-öø-ÿ]{4}|ß")
 _LOST = "�"
 #: Signs of the encodings' upper halves that ordinary text doesn't hold; the plain no-break blank and hyphen are not among them.
 _HALF = frozenset(c for k in CODECS for c in _decoded(k)[128:] if UNUSUAL.match(c)) - {"\u00a0", "\u00ad"}
@@ -108,13 +111,22 @@ def suspicious(text: str) -> bool:
     """A quick test that every wrongly decoded text passes, and few others."""
     if text.isascii():
         return False
-    if _LOST in text or _any_sequence().search(text) or _ODD_BREAK.search(text) or _TWO_SCRIPTS.search(text):
+    if _LOST in text or (_PAIR.search(text) and _any_sequence().search(text)):
+        return True
+    if (_CAPITAL.search(text) and _ODD_BREAK.search(text)) or (_RUSSIAN.search(text) and _TWO_SCRIPTS.search(text)):
         return True
     return not _HALF.isdisjoint(UNUSUAL.findall(text))
 
 
+@lru_cache(None)
+def _leads(codec: str) -> frozenset[str]:
+    return frozenset(_decoded(codec)[0xC2:0xF5])
+
+
 def _repair(text: str, codec: str) -> str:
     """The text with each run of characters that is UTF-8 under the encoding decoded as such."""
+    if _leads(codec).isdisjoint(text):
+        return text
     byte_of = _byte_of(codec)
 
     def one(m: re.Match) -> str:
@@ -159,8 +171,9 @@ def candidates(text: str) -> dict[str, tuple[float, str]]:
                     out[r] = (c, f"{chain}{codec}>utf-8 ")
                     following.append((r, c, out[r][1]))
         level = following
-    if UNUSUAL.search(text) or _ODD_BREAK.search(text):
-        letters, odd = set(NON_ASCII.findall(text)), odd_signs(text) > 0 or bool(_ODD_BREAK.search(text))
+    odd = odd_signs(text) > 0 or bool(_ODD_BREAK.search(text))
+    if odd or not _HALF.isdisjoint(UNUSUAL.findall(text)):
+        letters = set(NON_ASCII.findall(text))
         for read in CODECS:
             byte_of = _byte_of(read)
             whole = letters <= byte_of.keys()
