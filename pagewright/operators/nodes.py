@@ -24,6 +24,8 @@ from pagewright.schema import NODE
 COUNTED = ("p", "img", "li", "input", "a", "h1", "h2", "h3", "h4", "h5", "h6", "object", "embed", "iframe", "tr", "td", "th", "table", "figure")
 
 
+#: Nodes that are handed over together.
+FRAME_ROWS = 5000
 #: Selectors up to which the table of them is sent to every executor.
 MOST_SELECTORS = 10_000
 
@@ -67,14 +69,22 @@ def dom_nodes(pages: DataFrame, html: str = "html", key: str = "page_id") -> Dat
     """(key, node fields): one row for each element of each page's body. Pages without markup give no rows."""
     schema = StructType([pages.schema[key], *NODE.fields])
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=schema.fieldNames())
+        out["parent_id"] = out["parent_id"].astype("Int32")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for pdf in batches:
             for k, source in zip(pdf[key], pdf[html]):
                 if source:
-                    out = pd.DataFrame(page_nodes(source))
-                    out["parent_id"] = out["parent_id"].astype("Int32")
-                    out.insert(0, key, k)
-                    yield out
+                    rows += [{key: k, **r} for r in page_nodes(source)]
+                if len(rows) >= FRAME_ROWS:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     return pages.select(key, html).mapInPandas(run, schema)
 

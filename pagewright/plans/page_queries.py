@@ -10,6 +10,7 @@ from pagewright.operators.extract import extract_articles
 from pagewright.operators.simplify import restructured, simplified
 from pagewright.operators.pages import page_date_column, page_title_column
 from pagewright.options import ExtractOptions
+from pagewright.session import cut
 from pagewright.sources.tables import table
 
 _P = "FROM pages WHERE html IS NOT NULL"
@@ -23,6 +24,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return N.dom_nodes(_pages(spark, d))
 
 
+def _written(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Columns of the nodes, written once, for relations that read them more than once: the pages are parsed only once."""
+    return cut(_nodes(spark, d).select("page_id", "node_id", *columns))
+
+
 def extract_pages(spark, d):
     """The article record of each page."""
     return extract_articles(_pages(spark, d), ExtractOptions(), url="url")
@@ -61,19 +67,19 @@ def dom_links(spark, d):
 
 
 def node_index(spark, d):
-    return N.node_indexes(_nodes(spark, d))
+    return N.node_indexes(_written(spark, d, "path", "ord"))
 
 
 def candidate_scores(spark, d):
-    return N.candidate_scores(_nodes(spark, d)).select("page_id", "node_id", "tag", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"))
+    return N.candidate_scores(_written(spark, d, "path", "tag", "attrs", "text_bytes", "link_bytes", "comma_count")).select("page_id", "node_id", "tag", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"))
 
 
 def top_candidates(spark, d):
-    return N.top_candidates(N.candidate_scores(_nodes(spark, d)), k=5).select("page_id", "node_id", "tag", "rank")
+    return N.top_candidates(N.candidate_scores(_written(spark, d, "path", "tag", "attrs", "text_bytes", "link_bytes", "comma_count")), k=5).select("page_id", "node_id", "tag", "rank")
 
 
 def top_siblings(spark, d):
-    nodes = _nodes(spark, d)
+    nodes = _written(spark, d, "parent_id", "text", "path", "tag", "attrs", "text_bytes", "link_bytes", "comma_count")
     return N.siblings_of_top(nodes, N.candidate_scores(nodes))
 
 
@@ -87,11 +93,11 @@ def node_densities(spark, d):
 
 
 def table_kinds(spark, d):
-    return N.tables(_nodes(spark, d))
+    return N.tables(_written(spark, d, "path", "path_tags", "tag", "attrs", "tag_counts", "text", "text_bytes", "link_bytes"))
 
 
 def page_images(spark, d):
-    return N.images(_nodes(spark, d))
+    return N.images(_written(spark, d, "parent_id", "path", "path_tags", "tag", "attrs", "text"))
 
 
 def typed_blocks(spark, d):
