@@ -43,8 +43,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics and the kind of each long block."""
-    return quality.block_kinds(table(spark, d, "article"), table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
+    """The statistics of the text of every plain_content and of every block, and the kind of each long block."""
+    return quality.text_kinds(table(spark, d, "article"), table(spark, d, "lang_sample"), table(spark, d, "lexicon"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -87,3 +87,18 @@ def test_quality_table(spark, articles, samples, lexicon, sentences):
     got = sorted(tuple(r) for r in quality.other_than_prose(articles(rows), samples, lexicon).collect())
     assert got == [(i, 1) for i in range(30)]
     assert quality.other_than_prose(articles(rows[:1]).limit(0), samples, lexicon).count() == 0
+
+
+def test_statistics_of_every_text(spark, articles, samples, lexicon, sentences):
+    text = " ".join(sentences["en"])
+    plain = f"<div>\n<p>{text}</p>\n<pre>{'a = b; ' * 30}</pre>\n<p>Tom &amp; Ann</p>\n</div>"
+    rows = [{"article_id": i, "content": "<p>x</p>", "plain_content": plain, "plain_text": [text, "a = b; " * 30, "Tom & Ann"]} for i in range(20)]
+    rows += [{"article_id": 50}, {"article_id": 51, "content": "<p>undefined</p>", "plain_content": "<div><p>one two</p></div>", "plain_text": ["one two"]}, {"article_id": 52, "plain_content": "", "plain_text": [None, ""]}]
+    got = {(r["article_id"], r["field"], r["block_no"]): r for r in quality.text_kinds(articles(rows), samples, lexicon).collect()}
+    assert len(got) == 20 * 4 + 1 + 2 + 3
+    assert got[0, "plain_content", None]["words"] == got[0, "plain_text", 0]["words"] + got[0, "plain_text", 1]["words"] + 2
+    assert got[0, "plain_text", 0]["kind"] == "prose" and [got[0, "plain_text", i]["kind"] for i in (1, 2)] == [None] * 2
+    assert got[51, "plain_text", 0]["words"] == got[51, "plain_content", None]["words"] == 2 and got[51, "plain_text", 0]["kind"] is None
+    for key in ((52, "plain_text", 0), (52, "plain_text", 1), (50, "plain_content", None), (52, "plain_content", None)):
+        assert all(got[key][s] == 0 for s in quality.STATISTICS)
+    assert quality.text_kinds(articles(rows).limit(0), samples, lexicon).count() == 0
