@@ -1,9 +1,9 @@
-"""Language of each document and of each of its lines, by out-of-place distance to rank profiles.
+"""Language of each document and of each of its lines, by the places of n-grams in rank profiles.
 
 A profile lists a language's n-grams of one to three letters from the most frequent down; it is
-fitted on labelled sentences and a word list. A unit of text, a line or a whole document, is compared
-to each profile by the mean distance between the place of each of its n-grams in the unit's own order, where those of a line
-tie for the first place, and in the profile's; an n-gram that the profile lacks counts as far as the profile is long. A line's evidence is joined with a
+fitted on labelled sentences and a word list. A line is compared to each profile by the mean place that its n-grams have in the
+profile; an n-gram that the profile lacks counts as far as the profile is long. A line's own n-grams are not ranked, and a document's
+language is that of most of its lines. A line's evidence is joined with a
 share of its neighbours': strongly, to find the languages that the document holds, then weakly, to give each line
 one of these. Places count by their logarithm, as the order of rare n-grams is chance. Case is ignored.
 
