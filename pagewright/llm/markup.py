@@ -10,6 +10,7 @@ Defined results: null and empty blocks are text; an article without plain_conten
 
 from __future__ import annotations
 
+import html
 import random
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import markup_notation as N
-from pagewright.llm.residue import has_residue
+from pagewright.llm.residue import has_residue, placeholder_in
 
 #: Labelled sentences that training pages are made from, and pages made, at most; rounds of training.
 TRAINING_ROWS, TRAINING_PAGES, ROUNDS, SEED = 2000, 500, 6, 7
@@ -242,3 +243,77 @@ def marked_articles(articles: DataFrame, weights: tuple[bytes, bytes], convert:
     rows = articles.where(F.col("plain_text").isNotNull()).select("article_id", F.transform("plain_text", lambda b: b["text"]).alias("texts"), "plain_content", "content")
     rows = rows.where(F.exists("texts", lambda t: t.rlike(N.QUICK.pattern)))
     return rows.mapInPandas(run, "article_id bigint, block_no int" + ", text string, clean string" * convert).distinct()
+
+
+_BLOCK = re.compile(r"(</?(?:p|div|h[1-6]|li|ul|ol|blockquote|table|caption|thead|tbody|tfoot|tr|td|th|section|article|header|footer|nav|aside|main|figure|figcaption|dl|dt|dd|hr|br)\b[^<>]*>|<(?:pre|script|style)\b.*?</(?:pre|script|style)\s*>)", re.S | re.I)
+#: Within a block, code and tags, which stay as they are.
+_INLINE = re.compile(r"<(code|kbd|samp)\b[^<>]*>.*?</\1\s*>|<!--.*?-->|<(/?)([a-zA-Z][\w-]*)\b[^<>]*>", re.S)
+_OPENED, _ENDED, _PLACE = re.compile(r"<(?:(p|h[1-6]|blockquote|li|table|td|th)|ul|ol)\b", re.I), re.compile(r"</(p|h[1-6]|blockquote|li|table|ul|ol)\b", re.I), re.compile("\ue002(\\d+)\ue003")
+
+
+def clean_page(chain: Chain, page: str | None) -> str | None:
+    """A page's markup with the text of its blocks converted where the chain labels it as markup. Tags, code and all other blocks stay as they are."""
+    if not page:
+        return page
+    parts = _BLOCK.split(page)
+    units, open_tags = [], []
+    for i, part in enumerate(parts):
+        if i % 2:
+            if m := _ENDED.match(part):
+                while open_tags and open_tags.pop() != m[1].lower():
+                    pass
+            elif m := _OPENED.match(part):
+                open_tags.append(m[0][1:].lower())
+        elif part.strip():
+            held: list[tuple[str, int]] = []
+            ends: list[tuple[str, int]] = []
+
+            def hold(m: re.Match, held=held, ends=ends) -> str:
+                partner = -1
+                if m[3] and not m[2]:
+                    ends.append((m[3].lower(), len(held)))
+                elif m[3] and ends and ends[-1][0] == m[3].lower():
+                    partner = ends.pop()[1]
+                    held[partner] = (held[partner][0], len(held))
+                held.append((m[0], partner))
+                return f"\ue002{len(held) - 1}\ue003"
+
+            text = html.unescape(_INLINE.sub(hold, part))
+            inner = next((t for t in reversed(open_tags) if t not in ("ul", "ol", "td", "th")), "")
+            tag = "h" if inner[:1] == "h" else inner
+            units.append((i, text, held, (tag, tag != "li" and ("ul" in open_tags or "ol" in open_tags), False)))
+    shown = [_PLACE.sub("", u[1]).strip() for u in units]
+    if not any(N.shown(t) for t in shown):
+        return page
+    labels = chain.decode([features_of(t, *u[3]) for t, u in zip(shown, units)])
+    for t, label, (i, text, held, _) in zip(shown, labels, units):
+        if label != MARKUP or not N.shown(t) or placeholder_in(t):
+            continue
+        new = html.escape(N.clean(text), quote=False).replace("\n", "<br/>")
+        left = {int(k) for k in _PLACE.findall(new)}
+        # a tag whose partner went with what was taken out goes, too
+        new = _PLACE.sub(lambda m, held=held, left=left: held[int(m[1])][0] if held[int(m[1])][1] in left or held[int(m[1])][1] < 0 else "", new)
+        lead, end = re.match(r"\s*", parts[i])[0], re.search(r"\s*$", parts[i])[0]
+        parts[i] = lead + new + end
+    return "".join(parts)
+
+
+def cleaned_articles(articles: DataFrame, weights: tuple[bytes, bytes]) -> DataFrame:
+    """(article_id, content, plain_content, blocks array<string>, found array<int>): the clean form of every content, plain_content and block, and the
+    numbers of the blocks that showed markup; one row for each delivery, articles of residue too. Null stays null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = _chain(*weights)
+        for pdf in batches:
+            out = []
+            for key, texts, plain, content in zip(pdf["article_id"], pdf["texts"], pdf["plain_content"], pdf["content"]):
+                blocks, found = None if texts is None else list(texts), []
+                if blocks is not None:
+                    found = [i for i in marked_blocks(chain, blocks, plain) if not placeholder_in(blocks[i])]
+                    for i in found:
+                        blocks[i] = N.clean(blocks[i])
+                out.append((key, clean_page(chain, content), clean_page(chain, plain), blocks, found))
+            yield pd.DataFrame(out, columns=["article_id", "content", "plain_content", "blocks", "found"])
+
+    rows = articles.select("article_id", F.transform("plain_text", lambda b: b["text"]).alias("texts"), "plain_content", "content")
+    return rows.mapInPandas(run, "article_id bigint, content string, plain_content string, blocks array<string>, found array<int>")

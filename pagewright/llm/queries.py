@@ -53,8 +53,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """(article_id, block_no, text, clean): blocks that show markup with their clean text."""
-    return markup.marked_articles(table(spark, d, "article"), markup.fit_on(table(spark, d, "lang_sample")), convert=True)
+    """(article_id, content, plain_content, blocks, found): the clean form of every content, plain_content and block; one row for each delivery."""
+    return markup.cleaned_articles(table(spark, d, "article"), markup.fit_on(table(spark, d, "lang_sample")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

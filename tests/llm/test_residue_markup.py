@@ -117,3 +117,14 @@ def test_tables(spark, articles, samples):
     assert markup.marked_articles(a.limit(0), w).count() == 0
     assert [r[0] for r in residue.residue_articles(a).collect()] == [2]
     assert residue.residue_articles(a.limit(0)).count() == 0
+
+
+def test_content_and_plain_content_are_cleaned(spark, articles, samples):
+    inner = '<p>so **bold** a <a href="/x">word</a> &lt;em&gt;here&lt;/em&gt; &amp;amp; there</p><pre>**x** {{ y }}</pre><p>Tom &amp; Ann</p>'
+    wanted = '<p>so bold a <a href="/x">word</a> here &amp; there</p><pre>**x** {{ y }}</pre><p>Tom &amp; Ann</p>'
+    blocks = ["so **bold** a word <em>here</em> &amp; there", "**x** {{ y }}", "Tom & Ann"]
+    rows = [{"article_id": 1, "content": page(inner), "plain_content": f"<div>{inner}</div>", "plain_text": blocks}, {"article_id": 2}, {"article_id": 3, "content": page(inner)}]
+    got = {r["article_id"]: r for r in markup.cleaned_articles(articles(rows), markup.fit_on(samples)).collect()}
+    assert got[1]["content"] == got[3]["content"] == page(wanted) and got[1]["plain_content"] == f"<div>{wanted}</div>"
+    assert list(got[1]["blocks"]) == ["so bold a word here & there", *blocks[1:]] and list(got[1]["found"]) == [0]
+    assert got[2]["content"] is got[2]["plain_content"] is got[2]["blocks"] is got[3]["plain_content"] is None
