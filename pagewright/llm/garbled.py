@@ -277,8 +277,8 @@ def restored_values(articles: DataFrame, dictionaries: tuple) -> DataFrame:
             results = [tool.restore(v) for v in pdf["value"]]
             hit = [bool(c) for _, c in results]
             out = pdf[hit].copy()
-            out["restored"] = [r for r, c in results if c]
-            out["chain"] = [c for _, c in results if c]
+            out["restored"] = pd.Series([r for r, c in results if c], out.index, dtype=object)
+            out["chain"] = pd.Series([c for _, c in results if c], out.index, dtype=object)
             yield out
 
     suspects = _suspects(values_of(articles, "title"))

@@ -226,7 +226,7 @@ def differing_values(articles: DataFrame, dictionaries: tuple) -> DataFrame:
             new = [consistent(v) for v in pdf["value"]]
             hit = [n != v and (f == "byline" or not tool.affected(v)) for n, v, f in zip(new, pdf["value"], pdf["field"])]
             out = pdf[hit].copy()
-            out["consistent"] = [n for n, h in zip(new, hit) if h]
+            out["consistent"] = pd.Series([n for n, h in zip(new, hit) if h], out.index, dtype=object)
             yield out
 
     schema = StructType([*one.schema.fields, StructField("consistent", StringType())])

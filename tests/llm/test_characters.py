@@ -108,3 +108,10 @@ def test_tables(spark, articles, samples, lexicon):
     forms = {r["article_id"]: r for r in lookalikes.consistent_articles(a).collect()}
     assert forms[1]["byline"] == "Ann" and forms[1]["blocks"][1] == "wide words" and forms[1]["blocks"][2] is None and forms[2]["title"] is None
     assert garbled.restored_values(a.limit(0), d).count() == lookalikes.differing_values(a.limit(0), d).count() == 0
+
+
+def test_batches_without_a_case(spark, articles, samples, lexicon):
+    rows = [{"article_id": i, "title": "Café", "byline": "Zoë", "plain_text": ["déjà"]} for i in range(5)]
+    dictionaries = garbled.dictionaries_of(samples, lexicon)
+    assert lookalikes.differing_values(articles(rows), dictionaries).count() == 0
+    assert garbled.restored_values(articles(rows), dictionaries).count() == 0
