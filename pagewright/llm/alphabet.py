@@ -1,9 +1,15 @@
-"""Characters that ordinary text of the supported languages is written with."""
+"""Characters that ordinary text of the supported languages is written with, and bounded samples of labelled rows."""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Labelled rows of each language that a model is fitted on, at most; those whose hash is least.
+TRAINING_ROWS = 10_000
+
 #: Letters beyond a to z of each language, small ones; capitals follow.
 LETTERS = {
     "en": "éèçïöñ",
@@ -41,3 +47,10 @@ class _Unusual:
 
 UNUSUAL = _Unusual()
 NON_ASCII = re.compile("[^\x00-\x7f]")
+
+
+def bounded(labelled: DataFrame, text: str, most: int | None = None) -> list[tuple]:
+    """At most so many labelled rows of each lang, TRAINING_ROWS if not given, chosen by the hash of their text, in order of lang and text."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(text), text))
+    rows = labelled.withColumn("_place", place).where(F.col("_place") <= (most or TRAINING_ROWS)).drop("_place")
+    return [tuple(r) for r in rows.orderBy("lang", *[c for c in labelled.columns if c != "lang"]).collect()]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pagewright.llm.alphabet import NON_ASCII, UNUSUAL
+from pagewright.llm.alphabet import NON_ASCII, UNUSUAL, bounded
 
 #: Single-byte encodings that text was read with, or written in.
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "iso8859-15")
@@ -33,8 +33,6 @@ COST_ODD = 2.0
 COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 2.0
 #: Bytes that an exchange costs where no odd sign or break tells of one.
 COST_UNFOUNDED = 4.0
-#: Labelled sentences and words that dictionaries are made from, at most.
-TRAINING_ROWS = 50_000
 LEVELS = 3
 CYRILLIC = frozenset(("cp1251", "cp866", "koi8-r"))
 
@@ -239,11 +237,12 @@ class Restorer:
 
 
 def dictionaries_of(samples: DataFrame, lexicon: DataFrame) -> tuple:
-    """A text of each language: listed words from the rarest to the commonest, then sentences; at most TRAINING_ROWS of either."""
+    """A text of each language: listed words from the rarest to the commonest, then sentences; at most alphabet.TRAINING_ROWS of either."""
     out: dict[str, list[str]] = {}
-    for lang, text in samples.select("lang", "text").dropna().orderBy("lang", "text").limit(TRAINING_ROWS).collect():
+    for lang, text in bounded(samples.select("lang", "text").dropna(), "text"):
         out.setdefault(lang, []).append(text)
-    for lang, word, _ in lexicon.select("lang", "word", F.coalesce("word_rank", F.lit(0))).dropna().orderBy("lang", F.desc("word_rank")).limit(TRAINING_ROWS).collect():
+    listed = bounded(lexicon.select("lang", "word", F.coalesce("word_rank", F.lit(0)).alias("word_rank")).dropna(), "word")
+    for lang, word, _ in sorted(listed, key=lambda x: (x[0], -x[2], x[1])):
         out.setdefault(lang, []).append(f" {word} ")
     return tuple(sorted((k, "\n".join(v)) for k, v in out.items()))
 

@@ -1,14 +1,14 @@
-"""Language of each document and of each of its lines, by the places of n-grams in rank profiles.
+"""Language of each document and of each stretch of it, by the out-of-place distance of ranked n-grams to rank profiles.
 
 A profile lists a language's n-grams of one to three letters from the most frequent down; it is
-fitted on labelled sentences and a word list. A line is compared to each profile by the mean place that its n-grams have in the
-profile; an n-gram that the profile lacks counts as far as the profile is long. A line's own n-grams are not ranked, and a document's
-language is that of most of its lines. A line's evidence is joined with a
-share of its neighbours': strongly, to find the languages that the document holds, then weakly, to give each line
-one of these. Places count by their logarithm, as the order of rare n-grams is chance. Case is ignored.
+fitted on labelled sentences and a word list. The n-grams of a unit, a line or a whole document, are ranked by how often the unit holds them; the unit's
+distance to a profile is the mean, over its n-grams, of the distance between the place in the unit's order and that in the profile. N-grams held
+equally often share a place; one that the profile lacks counts as at its end. A line's evidence is joined with a
+share of its neighbours', to find the languages that the document holds; the stretches of these are those of least total distance, by dynamic
+programming over the lines. Places count by their logarithm, as the order of rare n-grams is chance. Case is ignored.
 
 Defined results: null, empty and letterless texts hold no language and give no row of segments and a null language.
-Whole texts count; a long text is worked off in slices.
+Whole texts count.
 """
 
 from __future__ import annotations
@@ -23,18 +23,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that profiles are fitted on, at most.
-TRAINING_ROWS = 50_000
+from pagewright.llm.alphabet import bounded
+
 #: N-grams in a profile, at most.
 PROFILE = 3000
-#: Characters that are scored at once.
-SLICE = 400_000
+#: N-grams of a document, from the most frequent down, that are compared to the profiles.
+OWN = 400
+#: Entries that a table of units and counts may have beyond four for each n-gram; where it would have more, n-grams are sorted instead, with the same result.
+LEAST_TABLE = 1_000_000
+#: Characters of texts that are scored together; a longer text is scored alone and whole.
+SLICE = 200_000
 #: Share of each neighbour's evidence and the most that it counts: first to find the languages of a text, then to give each line one.
 FIND, DECIDE = (0.3, 0.15), (0.1, 0.06)
 #: Distances to neighbours that count: lines of two columns may alternate.
 NEIGHBOURS = (1, 2)
 #: A further language of a text must win so many lines by joined evidence, and lead the main one by this margin on so many lines alone.
 JOINED_LINES, LEAD, LEADING_LINES = 2, 0.04, 3
+#: What a change of languages from one line to the next costs.
+SWITCH = 0.01
 #: Letters in a line at least, that it counts as text of a language.
 LETTERS = 4
 
@@ -90,61 +96,72 @@ def fit_profiles(samples: list[tuple[str, str]], words: list[tuple[str, str, int
 
 
 class Scorer:
-    """Distances of units of text to the profiles."""
+    """Out-of-place distances of units of text to the profiles."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = list(profiles)
         n = len(self.langs)
-        self.places = np.full((_W**3, n), 1.0, np.float32)
+        self.places = np.full((_W**3, n), _log_place(PROFILE), np.float32)
         for j, grams in enumerate(profiles.values()):
-            self.places[np.array(grams), j] = np.log1p(np.arange(len(grams), dtype=np.float32)) / np.log1p(PROFILE)
-
-    def line_sums(self, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of distances of each line to each profile, and number of n-grams. c begins and ends with 0; line i is c[starts[i]:starts[i+1]]."""
-        sums, numbers = np.zeros((len(starts), len(self.langs))), np.zeros(len(starts))
-        g = None
-        for lo in range(0, len(c) - 2, SLICE):
-            hi = min(lo + SLICE, len(c) - 2)
-            g = _grams(c[lo : hi + 2])
-            first = np.searchsorted(starts, lo + 1, side="right") - 1
-            own = np.arange(max(first, 0), np.searchsorted(starts, hi, side="right"))
-            at = np.maximum(starts[own] - lo - 1, 0)
-            keep = (np.append(at[1:], hi - lo) > at)
-            at, own = at[keep], own[keep]
-            if not len(own):
-                continue
-            for row in g:
-                d = self.places[np.maximum(row, 0)]
-                valid = row >= 0
-                d[~valid] = 0
-                np.add.at(sums, own, np.add.reduceat(d, at, axis=0))
-                np.add.at(numbers, own, np.add.reduceat(valid.astype(np.float64), at))
-        return sums, numbers
-
-    def documents(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the lines' mean distances (lines, languages) and their numbers of n-grams."""
-        out, group, size = [], [], 0
+            self.places[np.array(grams, np.int64), j] = _log_place(np.arange(len(grams)))
+
+    def distances(self, grams: np.ndarray, units: np.ndarray, n: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The out-of-place distance of each of n units to each profile, as the mean over the unit's distinct n-grams, and their number of n-grams. units: the
+        unit of each n-gram. A unit's n-grams are ranked by how often it holds them, those held equally often share the first of their places; most: how
+        many places, from the most frequent down, are compared; None for all. An n-gram that a profile lacks counts as at its end."""
+        if not len(grams):
+            return np.zeros((n, len(self.langs))), np.zeros(n)
+        keys = units.astype(np.int64) * _W**3 + grams
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(first, len(keys)))
+        unit, gram = np.divmod(keys[first], _W**3)
+        own = _shared_places(unit, counts, n)
+        if most is not None:
+            keep = own < most
+            unit, gram, own = unit[keep], gram[keep], own[keep]
+        sums, numbers = np.zeros((n, len(self.langs))), np.bincount(units, minlength=n).astype(float)
+        d = self.places[gram]
+        d -= _log_place(own)[:, None]
+        np.abs(d, out=d)
+        distinct = np.bincount(unit, minlength=n)
+        at = np.flatnonzero(distinct)
+        if len(at):
+            sums[at] = np.add.reduceat(d, np.concatenate([[0], np.cumsum(distinct[at])[:-1]]), axis=0)
+        return sums / np.maximum(distinct, 1)[:, None], numbers
+
+    def documents(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the lines' distances (lines, languages), their numbers of n-grams, and the text's own distances."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        group, size = [], 0
         for t in [*texts, None]:
             if group and (t is None or size + len(t) > SLICE):
-                whole = "".join([f"{t}\n" for t in group])
-                c = np.concatenate([[0], classes_of(whole), [0]]).astype(np.uint8)
-                lines = [t.count("\n") + 1 for t in group]
-                breaks = np.flatnonzero(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-                starts = np.concatenate([[1], breaks[:-1] + 2])
-                sums, numbers = self.line_sums(c, starts)
-                mean = sums / np.maximum(numbers, 1)[:, None]
-                at = 0
-                for n in lines:
-                    out.append((mean[at : at + n], numbers[at : at + n]))
-                    at += n
+                out += self._group(group)
                 group, size = [], 0
             if t is not None:
                 group.append(t)
                 size += len(t)
         return out
 
+    def _group(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        whole = "".join([f"{t}\n" for t in texts])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate([[0], _classes()[np.minimum(codes, 0xFFFF)], [0]]).astype(np.uint8)
+        lines = np.array([t.count("\n") + 1 for t in texts])
+        ends = np.cumsum(codes == 10)
+        line_of = np.concatenate([[0], ends[:-1]])
+        g = _grams(c)
+        where = [np.flatnonzero(row >= 0) for row in g]
+        grams = np.concatenate([row[w] for row, w in zip(g, where)])
+        units = np.concatenate([line_of[w] for w in where])
+        mean, numbers = self.distances(grams, units, int(lines.sum()))
+        text_of = np.repeat(np.arange(len(texts)), lines)
+        own, _ = self.distances(grams, text_of[units], len(texts), OWN)
+        bounds = np.concatenate([[0], np.cumsum(lines)])
+        return [(mean[a:b], numbers[a:b], own[i]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+
     def decide(self, mean: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's language, -1 for none, and its confidence from 0 to 1."""
+        """Each line's language, -1 for none, and its confidence from 0 to 1. The bounds of stretches are those of least total distance, by dynamic programming."""
         n = len(mean)
         text = numbers >= 3 * LETTERS
         if not text.any():
@@ -167,14 +184,79 @@ class Scorer:
         leading = np.bincount(best[text & (evidence[:, main] >= LEAD)], minlength=len(self.langs))
         keep = (won >= JOINED_LINES) & (leading >= LEADING_LINES)
         keep[main] = True
+        held = np.flatnonzero(keep)
         e = joined(*DECIDE)
-        rest = np.where(keep, np.inf, e)
-        e = np.where(keep, e, np.inf)
-        lang = np.where(text, e.argmin(axis=1), -1)
-        kept = np.sort(e, axis=1)
-        other = kept[:, 1] if keep.sum() > 1 else rest.min(axis=1)
-        margin = np.maximum(other - kept[:, 0], 0)
-        return lang, np.where(text, 1 - np.exp(-margin / LEAD), 0)
+        lang = np.full(n, -1)
+        at = np.flatnonzero(text)
+        lang[at] = held[_least_path(e[np.ix_(at, held)], SWITCH)] if len(held) > 1 else main
+        rest = np.where(keep, np.inf, e).min(axis=1)
+        chosen = e[np.arange(n), np.maximum(lang, 0)]
+        if len(held) > 1:
+            others = e[:, held].copy()
+            others[held[None, :] == lang[:, None]] = np.inf
+            rest = others.min(axis=1)
+        return lang, np.where(text, 1 - np.exp(-np.maximum(rest - chosen, 0) / LEAD), 0)
+
+
+    def languages(self, text: str, mean: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As decide; a further language stays only if the text of its lines, taken as one, is nearest to it of all that the document holds."""
+        lang, sure = self.decide(mean, numbers)
+        held = np.unique(lang[lang >= 0])
+        if len(held) > 1:
+            lines = text.split("\n")
+            parts = self.documents(["\n".join([lines[i] for i in np.flatnonzero(lang == j)]) for j in held])
+            right = np.array([held[o[held].argmin()] == j for j, (_, _, o) in zip(held, parts)])
+            main = held[np.bincount(lang[lang >= 0], weights=numbers[lang >= 0], minlength=len(self.langs))[held].argmax()]
+            for j in held[~right]:
+                lang[lang == j] = main
+        return lang, sure
+
+
+def _sure(own: np.ndarray, chosen: int) -> float:
+    """Confidence from 0 to 1 that a unit with these distances is in the chosen language."""
+    return float(1 - np.exp(-max(np.delete(own, chosen).min() - own[chosen], 0) / LEAD)) if len(own) > 1 else 1.0
+
+
+def _shared_places(unit: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each n-gram of a unit, how many of the unit's n-grams are more frequent. unit rises."""
+    most = int(counts.max()) + 1
+    if n * most <= 4 * len(unit) + LEAST_TABLE:
+        key = unit * most + (most - 1 - counts)
+        held = np.bincount(key, minlength=n * most)
+        before = np.cumsum(held) - held
+        return before[key] - before[::most][unit]
+    order = np.lexsort((-counts, unit))
+    u, c = unit[order], counts[order]
+    place = np.arange(len(u)) - np.searchsorted(u, np.arange(n))[u]
+    ties = np.flatnonzero(np.append(True, (np.diff(u) != 0) | (np.diff(c) != 0)))
+    out = np.empty(len(u), np.int64)
+    out[order] = np.repeat(place[ties], np.diff(np.append(ties, len(u))))
+    return out
+
+
+def _log_place(place):
+    return np.log1p(np.asarray(place, np.float32)) / np.float32(np.log1p(PROFILE))
+
+
+def _least_path(e: np.ndarray, switch: float) -> np.ndarray:
+    """The column of each row so that the sum of values is least, where a change of columns costs switch unless the row before the last had the same
+    column, as in lines of two columns of print that alternate."""
+    n, k = e.shape
+    if n == 1:
+        return e.argmin(axis=1)
+    a, b, c = np.ogrid[:k, :k, :k]
+    step = switch * ((c != b) & (c != a))  # column two rows before, one before, this one
+    total = e[0][:, None] + e[1][None, :] + switch * (1 - np.eye(k))
+    back = np.zeros((n, k, k), np.int8)
+    for t in range(2, n):
+        m = total[:, :, None] + step
+        back[t] = m.argmin(axis=0)
+        total = m.min(axis=0) + e[t][None, :]
+    path = np.zeros(n, np.int64)
+    path[n - 2], path[n - 1] = np.unravel_index(total.argmin(), total.shape)
+    for t in range(n - 1, 1, -1):
+        path[t - 2] = back[t][path[t - 1], path[t]]
+    return path
 
 
 @lru_cache(4)
@@ -183,9 +265,9 @@ def _scorer(profiles: tuple) -> Scorer:
 
 
 def profiles_of(samples: DataFrame, lexicon: DataFrame) -> tuple:
-    """Profiles fitted on at most TRAINING_ROWS labelled sentences and as many listed words."""
-    s = [tuple(r) for r in samples.select("lang", "text").dropna().orderBy("lang", "text").limit(TRAINING_ROWS).collect()]
-    w = [tuple(r) for r in lexicon.select("lang", "word", "word_rank").dropna(subset=["lang", "word"]).orderBy("lang", "word").limit(TRAINING_ROWS).collect()]
+    """Profiles fitted on at most alphabet.TRAINING_ROWS labelled sentences and as many listed words of each language."""
+    s = bounded(samples.select("lang", "text").dropna(), "text")
+    w = bounded(lexicon.select("lang", "word", "word_rank").dropna(subset=["lang", "word"]), "word")
     return tuple((k, tuple(v)) for k, v in fit_profiles(s, w).items())
 
 
@@ -198,29 +280,29 @@ def label_language(label: Column) -> Column:
 
 def document_languages(documents: DataFrame, profiles: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, language, confidence, line_counts map<language, lines>, segments array<first_line, last_line, language, confidence>);
-    lines count from 0, segments are runs of lines of one language. One row for each input row."""
+    lines count from 0, segments are runs of lines of one language; the language and each confidence come from the distances of the document's and the
+    segment's own ranking. One row for each input row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(profiles)
         for pdf in batches:
             rows = []
             texts = [t if t is not None else "" for t in pdf[text]]
-            for mean, numbers in scorer.documents(texts):
-                lang, sure = scorer.decide(mean, numbers)
+            for whole, (mean, numbers, own) in zip(texts, scorer.documents(texts)):
+                lang, _ = scorer.languages(whole, mean, numbers)
                 spoken = lang >= 0
                 if not spoken.any():
                     rows.append((None, 0.0, {}, []))
                     continue
                 counts = np.bincount(lang[spoken], minlength=len(scorer.langs))
-                main = int(np.bincount(lang[spoken], weights=numbers[spoken], minlength=len(scorer.langs)).argmax())
+                main = int(np.where(counts > 0, own, np.inf).argmin())
                 at = np.flatnonzero(spoken)
-                cuts = np.flatnonzero(np.diff(lang[at])) + 1
-                segments = [
-                    {"first_line": int(part[0]), "last_line": int(part[-1]), "language": scorer.langs[lang[part[0]]], "confidence": round(float(sure[part].mean()), 4)}
-                    for part in np.split(at, cuts)
-                ]
-                share = float((sure * (lang == main) * numbers).sum() / numbers[spoken].sum())
-                rows.append((scorer.langs[main], round(share, 4), {scorer.langs[j]: int(c) for j, c in enumerate(counts) if c}, segments))
+                parts = np.split(at, np.flatnonzero(np.diff(lang[at])) + 1)
+                lines = whole.split("\n")
+                sure = [_sure(o, lang[part[0]]) for part, (_, _, o) in zip(parts, scorer.documents(["\n".join([lines[i] for i in part]) for part in parts]))]
+                segments = [{"first_line": int(p[0]), "last_line": int(p[-1]), "language": scorer.langs[lang[p[0]]], "confidence": round(x, 4)} for p, x in zip(parts, sure)]
+                share = float(numbers[lang == main].sum() / numbers[spoken].sum())
+                rows.append((scorer.langs[main], round(share * _sure(own, main), 4), {scorer.langs[j]: int(c) for j, c in enumerate(counts) if c}, segments))
             out = pd.DataFrame(rows, columns=["language", "confidence", "line_counts", "segments"])
             out.insert(0, key, pdf[key].to_numpy())
             yield out
@@ -238,10 +320,10 @@ def unlabelled_languages(documents: DataFrame, profiles: tuple, lines: int = 5,
         for pdf in batches:
             out = []
             scored = scorer.documents([t if t is not None else "" for t in pdf[text]])
-            for k, named, (mean, numbers) in zip(pdf[key].to_numpy(), pdf["_named"], scored):
+            for k, named, whole, (mean, numbers, _) in zip(pdf[key].to_numpy(), pdf["_named"], pdf[text], scored):
                 if len(numbers) < lines:
                     continue
-                lang, _ = scorer.decide(mean, numbers)
+                lang, _ = scorer.languages(whole, mean, numbers)
                 counts = np.bincount(lang[lang >= 0], minlength=len(scorer.langs))
                 out += [(k, scorer.langs[j]) for j in np.flatnonzero(counts >= lines) if scorer.langs[j] != named]
             yield pd.DataFrame(out, columns=[key, "lang"]).astype({key: pdf[key].dtype})

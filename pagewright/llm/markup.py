@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import markup_notation as N
+from pagewright.llm.alphabet import bounded
 from pagewright.llm.residue import has_residue, placeholder_in
 
-#: Labelled sentences that training pages are made from, and pages made, at most; rounds of training.
-TRAINING_ROWS, TRAINING_PAGES, ROUNDS, SEED = 2000, 500, 6, 7
+#: Labelled sentences of each language that training pages are made from, and pages made, at most; rounds of training.
+TRAINING_SENTENCES, TRAINING_PAGES, ROUNDS, SEED = 250, 500, 6, 7
 LABELS = ("text", "markup", "code", "signs")
 TEXT, MARKUP, CODE, SIGNS = range(4)
 TAGS = ("p", "h", "blockquote", "pre", "table", "li", "")
@@ -208,8 +209,8 @@ def _chain(weights: bytes, steps: bytes) -> Chain:
 
 
 def fit_on(samples: DataFrame) -> tuple[bytes, bytes]:
-    """Weights fitted on pages made from at most TRAINING_ROWS labelled sentences."""
-    sentences = [r[0] for r in samples.select("text").dropna().orderBy("text").limit(TRAINING_ROWS).collect()]
+    """Weights fitted on pages made from at most TRAINING_SENTENCES labelled sentences of each language."""
+    sentences = [t for _, t in bounded(samples.select("lang", "text").dropna(), "text", TRAINING_SENTENCES)]
     chain = fit(training_pages(sentences))
     return chain.weights.tobytes(), chain.steps.tobytes()
 

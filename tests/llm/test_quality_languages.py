@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from pagewright.llm import languages, quality
+from pagewright.llm.alphabet import bounded
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +15,7 @@ def scorer(sentences):
 
 
 def counts(scorer, text):
-    ((mean, numbers),) = scorer.documents([text])
+    ((mean, numbers, _),) = scorer.documents([text])
     lang, _ = scorer.decide(mean, numbers)
     return {scorer.langs[j]: int((lang == j).sum()) for j in set(lang.tolist()) if j >= 0}
 
@@ -41,8 +44,46 @@ def test_slices_change_nothing(scorer, sentences, monkeypatch):
     text = "\n".join([*sentences["de"], "", *sentences["en"]])
     want = scorer.documents([text, "", text])
     monkeypatch.setattr(languages, "SLICE", 37)
-    for (a, b), (c, d) in zip(want, scorer.documents([text, "", text])):
-        assert np.allclose(a, c) and np.array_equal(b, d)
+    for one, other in zip(want, scorer.documents([text, "", text])):
+        assert all(np.allclose(a, b) for a, b in zip(one, other))
+
+
+def test_distance_is_that_of_two_orders(scorer, monkeypatch):
+    def brute(text):
+        c = np.concatenate([[0], languages.classes_of(text), [0, 0]]).astype(np.uint8)
+        held = Counter(x for x in languages._grams(c).ravel().tolist() if x >= 0)
+        place = {g: sum(n > k for n in held.values()) for g, k in held.items()}
+        return [np.mean([abs(languages._log_place(place[g]) - scorer.places[g, j]) for g in held]) for j in range(len(scorer.langs))]
+
+    for text in ("the old man and the sea and the the the river", "een", "Straße und Brücke und Fluss", "aaaa"):
+        ((_, _, own),) = scorer.documents([text])
+        assert np.allclose(own, brute(text), atol=1e-5)
+    # other frequencies of the same n-grams are another order, so another distance
+    a, b = "the the the the xyq", "the xyq xyq xyq xyq"
+    assert not np.allclose(scorer.documents([a])[0][2], scorer.documents([b])[0][2], atol=1e-4)
+    unit, counts = np.repeat([0, 1, 3], [3, 2, 4]), np.array([5, 1, 5, 2, 2, 1, 9, 3, 3])
+    want = [sum(o > c for v, o in zip(unit, counts) if v == u) for u, c in zip(unit, counts)]
+    assert languages._shared_places(unit, counts, 4).tolist() == want
+    monkeypatch.setattr(languages, "LEAST_TABLE", 0)
+    big = counts * 10**6
+    assert languages._shared_places(unit, big, 4).tolist() == want
+
+
+def test_stretches_of_least_distance():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 6):
+        e = rng.random((n, 3))
+        cost = lambda p, e=e: sum(e[i, k] for i, k in enumerate(p)) + 0.3 * sum(p[i] != p[i - 1] and (i < 2 or p[i] != p[i - 2]) for i in range(1, len(p)))
+        path = languages._least_path(e, 0.3).tolist()
+        assert abs(cost(path) - min(map(cost, itertools.product(range(3), repeat=n)))) < 1e-9
+
+
+def test_sample_is_bounded_by_language(spark):
+    rows = [(k, f"text {i}") for k in ("a", "b", "z") for i in range(30)]
+    got = bounded(spark.createDataFrame(rows, "lang string, text string"), "text", 10)
+    assert [sum(k == x for x, _ in got) for k in "abz"] == [10] * 3 and got == sorted(got)
 
 
 def test_language_tables(spark, samples, lexicon, sentences):
