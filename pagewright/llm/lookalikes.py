@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same but is written with different characters.
 
-A transducer over grapheme clusters maps, in one pass and by longest match, full-width and styled forms to
-plain ones, joined accents to their letters, blanks to the plain blank, and unseen characters to nothing. Its table is
+A transducer over grapheme clusters maps, in one pass and by longest match, full-width, half-width and styled forms to
+plain ones, accents in canonical order to their letters, syllables of Hangul to one sign, blanks to the plain blank, and unseen characters to nothing. Its table is
 worked out once from the character database and a list of look-alike letters, and refused if two rules disagree or
 if a result would change again. Look-alike letters depend on the word: letters of a word of mixed scripts go to the
 script that most of it is written in, or the text if the word doesn't tell; a word really written in another
@@ -42,13 +42,19 @@ UNSEEN = re.compile(
     "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff]"
 )
 BLANKS = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Combining marks by class, of the basic plane.
+_CLASS = {chr(o): unicodedata.combining(chr(o)) for o in range(0x300, 0x10000) if unicodedata.combining(chr(o))}
 _MARK = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\ufe20-\ufe2f"
-#: Joiners and picture selectors within or after pictures.
-_PICTURE_JOIN = re.compile(f"(?<=[{PICTURES}\ufe0f\U0001f3fb-\U0001f3ff])(?:\u200d(?=[{PICTURES}])|\ufe0f)")
+#: Joiners, picture selectors and tags within or after pictures and digits in frames.
+_PICTURE_JOIN = re.compile(f"(?<=[{PICTURES}\ufe0f\U0001f3fb-\U0001f3ff])(?:\u200d(?=[{PICTURES}])|\ufe0f)|\ufe0f(?=\u20e3)")
 _HELD = {"\u200d": "\ue000", "\ufe0f": "\ue001"}
+_FLAG, _FLAG_HELD = re.compile("\U0001f3f4[\U000e0020-\U000e007f]+"), {o: chr(0xE100 + o - 0xE0020) for o in range(0xE0020, 0xE0080)}
+_RELEASED = {ord(v): k for k, v in _HELD.items()} | {ord(v): chr(k) for k, v in _FLAG_HELD.items()}
+_JOINERS = re.compile("[\u200d\ufe0f\U000e0020-\U000e007f]")
 #: Words, with unseen characters inside.
 _WORD = re.compile(f"(?:[^\\W\\d_][{_MARK}]*)+")
 _FORMS = ("<wide>", "<narrow>", "<font>", "<compat>", "<circle>", "<square>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>")
+_WIDTHS = ("<wide>", "<narrow>")
 #: Typographic signs that stay although a plainer writing is known.
 _KEPT = frozenset("…‥№™℠℡℃℉‼⁇⁈⁉″‴‵‶₨℀℁℅℆ªº²³¹¼½¾µ´¨¸¯ſŉĿŀĳĲǆǅǄǉǈǇǌǋǊǳǲǱ")
 
@@ -77,74 +83,120 @@ def likenesses() -> dict[str, dict[str, str]]:
 
 @lru_cache(1)
 def forms() -> dict[str, str]:
-    """Single characters of another width or form to plain ones; found by rule in the character database."""
+    """Single characters of another width or form to plain ones, and doubles of the same character; found by rule in the character database."""
     out = {}
     for o in (*range(0x2070, 0x33FF), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF), *range(0xFE50, 0xFE70), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F170)):
         c = chr(o)
-        kind = unicodedata.decomposition(c).split(" ")[0]
-        if kind in _FORMS and c not in _KEPT:
+        kind, *parts = unicodedata.decomposition(c).split(" ")
+        if kind in _FORMS and c not in _KEPT and not UNSEEN.fullmatch(c):
             plain = unicodedata.normalize("NFKC", c)
             if plain != c and all(p.isalnum() or 33 <= ord(p) < 127 for p in plain) and not any(script_of(p) is None and p.isalpha() for p in plain):
                 out[c] = plain
+            elif kind in _WIDTHS and len(parts) == 1:
+                out[c] = chr(int(parts[0], 16))
     out |= {c: "-" for c in HYPHENS}
+    for o in (*range(0x340, 0xAC00), *range(0xF900, 0xFB50)):
+        c = chr(o)
+        if c not in out and c not in _CLASS and not BLANKS.fullmatch(c) and unicodedata.normalize("NFC", c) != c:
+            out[c] = unicodedata.normalize("NFC", c)
     return out
 
 
+#: Ranges beyond the basic plane that hold characters with a plain form.
+_BEYOND = ((0x1D400, 0x1D7FF), (0x1F100, 0x1F16F), (0xE0000, 0xE0FFF))
+
+
 class Transducer:
-    """A trie over characters whose longest match at each place gives the output."""
+    """Maps the grapheme clusters of a text. rules: single characters and their results; joined: letters with their marks in canonical order, and the letter
+    that they are. A trie over the marks of each letter finds the longest match, and passes over marks that it doesn't hold and that block no later one."""
 
-    def __init__(self, rules: list[tuple[str, str]]):
+    def __init__(self, rules: list[tuple[str, str]], joined: list[tuple[str, str]] = ()):
+        self.single: dict[str, str] = {}
+        self.apart: dict[str, str] = {}
         self.root: dict = {}
-        known: dict[str, str] = {}
-        for key, value in rules:
-            if known.setdefault(key, value) != value:
-                raise ValueError(f"two results for {key!r}: {known[key]!r} and {value!r}")
-        for key, value in known.items():
+        for known, table in ((self.single, rules), (self.apart, [(v, k) for k, v in joined])):
+            for key, value in table:
+                if known.setdefault(key, value) != value:
+                    raise ValueError(f"two results for {key!r}: {known[key]!r} and {value!r}")
+        if both := self.single.keys() & self.apart.keys():
+            raise ValueError(f"two results for {sorted(both)[0]!r}")
+        seen: dict[str, str] = {}
+        for key, value in joined:
+            if seen.setdefault(key, value) != value:
+                raise ValueError(f"two results for {key!r}: {seen[key]!r} and {value!r}")
             node = self.root
             for c in key:
                 node = node.setdefault(c, {})
             node[""] = value
-        for key, value in known.items():
+        marks = "".join(map(re.escape, sorted({c for k in seen for c in k[1:]} | set(_CLASS) | {c for c, v in self.single.items() if v in _CLASS})))
+        gone = "".join(map(re.escape, sorted(c for c, v in self.single.items() if not v)))
+        between = f"[{gone}]*" if gone else ""
+        singles = "|[" + "".join(map(re.escape, sorted(self.single))) + "]" if self.single else ""
+        held = frozenset(self.single) | frozenset(marks.replace("\\", "")) | frozenset(map(chr, range(0x1100, 0x1200)))
+        # one class that finds places quickly: characters beyond the basic plane only by a few ranges around them
+        beyond = "".join(f"{chr(a)}-{chr(b)}" for a, b in _BEYOND if any(chr(a) <= c <= chr(b) for c in held))
+        self.places = re.compile("[" + "".join(map(re.escape, sorted(c for c in held if c <= "\uffff"))) + beyond + "]+")
+        self.clusters = re.compile(f"[^{marks}{gone}](?:{between}[{marks}])+|[\u1100-\u1112]{between}[\u1161-\u1175](?:{between}[\u11a8-\u11c2])?|[\uac00-\ud7a3]{between}[\u11a8-\u11c2]|[{marks}](?:{between}[{marks}])+{singles}")
+        self.piece = lru_cache(65536)(lambda piece: self.clusters.sub(lambda m: self._cluster(m[0]), piece))
+        for key, value in [*rules, *joined]:
             if self(value) != value:
                 raise ValueError(f"the result {value!r} of {key!r} would change again")
 
-    def __call__(self, text: str) -> str:
-        out, i, n = [], 0, len(text)
-        while i < n:
-            node, k, best, end = self.root, i, None, i + 1
-            while k < n and (node := node.get(text[k])) is not None:
-                k += 1
-                if "" in node:
-                    best, end = node[""], k
-            out.append(text[i] if best is None else best)
+    def _cluster(self, cluster: str) -> str:
+        plain = "".join([self.apart.get(x, x) for c in cluster for x in self.single.get(c, c)])
+        if len(plain) > 1 and "\u1100" <= plain[0] <= "\u1112" and "\u1161" <= plain[1] <= "\u1175":
+            end = ord(plain[2]) - 0x11A7 if len(plain) > 2 else 0
+            return chr(0xAC00 + ((ord(plain[0]) - 0x1100) * 21 + ord(plain[1]) - 0x1161) * 28 + end)
+        if len(plain) > 1 and "\uac00" <= plain[0] <= "\ud7a3" and "\u11a8" <= plain[1] <= "\u11c2":
+            return chr(ord(plain[0]) + ord(plain[1]) - 0x11A7) if not (ord(plain[0]) - 0xAC00) % 28 else plain
+        i = next((i for i, c in enumerate(plain) if c not in _CLASS), len(plain))
+        out = sorted(plain[:i], key=_CLASS.__getitem__)
+        while i < len(plain):
+            end = i + 1
+            while end < len(plain) and plain[end] in _CLASS:
+                end += 1
+            marks = sorted(plain[i + 1 : end], key=_CLASS.__getitem__)
+            node, letter, left = self.root.get(plain[i], {}), plain[i], []
+            for m in marks:
+                if m in node and not (left and _CLASS[left[-1]] == _CLASS[m]) and "" in node[m]:
+                    node = node[m]
+                    letter = node[""]
+                else:
+                    left.append(m)
+            out += [letter, *left]
             i = end
         return "".join(out)
 
+    def __call__(self, text: str) -> str:
+        out, at = [], 0
+        for m in self.places.finditer(text):
+            begin = m.start() - (m.start() > at)  # with the letter that marks may belong to
+            out += [text[at:begin], self.piece(text[begin : m.end()])]
+            at = m.end()
+        return "".join([*out, text[at:]]) if out else text
+
 
 @lru_cache(1)
 def transducer() -> Transducer:
     rules = list(forms().items())
     rules += [(chr(o), " ") for o in range(0x80, 0x3001) if BLANKS.fullmatch(chr(o))]
     rules += [(chr(o), "") for o in (*range(0x80, 0x10000), *range(0xE0000, 0xE0200)) if UNSEEN.fullmatch(chr(o))]
-    for o in (*range(0xC0, 0x250), *range(0x400, 0x530), *range(0x1E00, 0x1F00), *range(0x386, 0x3CF)):
+    joined = []
+    for o in (*range(0xC0, 0xAC00), *range(0xFB1D, 0xFB50)):
         apart = unicodedata.normalize("NFD", chr(o))
         if len(apart) > 1 and unicodedata.normalize("NFC", apart) == chr(o):
-            rules.append((apart, chr(o)))
-            if len(apart) == 3:  # the first accent may be joined already
-                rules.append((unicodedata.normalize("NFC", apart[:2]) + apart[2], chr(o)))
-    return Transducer(rules)
+            joined.append((apart, chr(o)))
+    return Transducer(rules, joined)
 
 
-#: A few ranges that hold all of them and little else; tests of long classes are slow.
-_BEYOND = re.compile("[^\x00-\x9f\u00a1-\u00ac\u00ae-\u0131\u0134-\u01c3\u0400-\u052f\u2013-\u201f\u2022\u2026\u2030\u2039\u203a\u20ac]")
-#: One class of all characters that the transducer may change.
-_SUSPECT = re.compile("[" + re.escape("".join(sorted(forms()))) + _MARK + UNSEEN.pattern[1:-1] + BLANKS.pattern[1:-1] + "]")
-_FOREIGN = re.compile("[\u0370-\u03ff\u0530-\u058f\u0250-\u02af\u0400-\u052f]")
+#: Letters of other scripts that may look like ones of the word's own.
+_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 _CYRILLIC = re.compile("[\u0400-\u052f]")
 _FORMS_OF_LATIN = frozenset(p[0] for p in LIKE_LATIN["latin"].split())
 
 
+@lru_cache(100_000)
 def _script_of_word(word: str) -> tuple[str | None, bool]:
     """The script that the word's letters without a likeness tell, and whether all its letters belong to it or can be brought to it."""
     told = set()
@@ -187,12 +239,14 @@ def consistent(text: str | None) -> str | None:
     """The consistent form of a text."""
     if not text or text.isascii():
         return text
-    t = text
-    if _BEYOND.search(t) and _SUSPECT.search(t):
-        t = _PICTURE_JOIN.sub(lambda m: _HELD[m[0]], t)
-        t = transducer()(t)
-        for sign, held in _HELD.items():
-            t = t.replace(held, sign)
+    t, tool = text, transducer()
+    if tool.places.search(t):
+        joins = _JOINERS.search(t)
+        if joins:
+            t = _FLAG.sub(lambda m: m[0].translate(_FLAG_HELD), _PICTURE_JOIN.sub(lambda m: _HELD[m[0]], t))
+        t = tool(t)
+        if joins:
+            t = t.translate(_RELEASED)
     if _FOREIGN.search(t) and (_LATIN.search(t) or not _CYRILLIC.search(t)):
         t = _words(t)
     return t
@@ -209,7 +263,7 @@ def _consistent_udf(values: pd.Series) -> pd.Series:
 
 
 def consistent_form(value: Column | str) -> Column:
-    """The consistent form of a column of texts; plain ASCII never leaves the JVM's own evaluation."""
+    """The consistent form of a column of texts, by an Arrow function; a text of plain ASCII comes back as it is."""
     c = F.col(value) if isinstance(value, str) else value
     return _consistent_udf(c)
 

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,7 +49,23 @@ def test_conflicts_are_refused():
         lookalikes.Transducer([("a", "b"), ("a", "c")])
     with pytest.raises(ValueError):
         lookalikes.Transducer([("a", "b"), ("b", "c")])
-    assert lookalikes.Transducer([("a", "x"), ("ab", "y")])("abac") == "yxc"
+    with pytest.raises(ValueError):
+        lookalikes.Transducer([], [("a\u0301", "á"), ("a\u0301", "à")])
+    with pytest.raises(ValueError):
+        lookalikes.Transducer([("á", "a")], [("a\u0301", "á")])
+    joined = [("a\u0323", "ạ"), ("a\u0323\u0302", "ậ")]
+    assert lookalikes.Transducer([("ａ", "a")], joined)("ａ\u0302\u0323 a\u0302 a\u0323") == "ậ a\u0302 ạ"
+
+
+@given(st.text(st.sampled_from("aeioustzнйυ\u0301\u0302\u0308\u0323\u0328\u0306\u0331\u1112\u1161\u11ab가"), max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_equal_clusters_become_equal(text):
+    assert consistent(unicodedata.normalize("NFD", text)) == consistent(text) == consistent(unicodedata.normalize("NFC", text))
+
+
+@pytest.mark.parametrize("value, expected", [("a\u0302\u0323", "ậ"), ("o\u0301\u0328", "o\u0328\u0301"), ("\u1112\u1161\u11ab", "한"), ("\u2126 \u212b", "Ω Å"), ("ｶﾞｷ", "ガキ"), ("e\u200b\u0301", "é"), ("1\ufe0f\u20e3", "1\ufe0f\u20e3")])
+def test_clusters(value, expected):
+    assert consistent(value) == unicodedata.normalize("NFC", expected)
 
 
 @pytest.fixture(scope="module")
