@@ -28,10 +28,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """(article_id, body): the main body of each article."""
+    """(article_id, content_body, body): the main body of each article's content and plain_content."""
     return boilerplate.main_bodies(table(spark, d, "article"), table(spark, d, "site"))
 
 
+def p2_template(spark: SparkSession, d: str) -> DataFrame:
+    """(host, lang, stories, size, atoms): the valid equivalence classes of each host's template."""
+    return boilerplate.template_classes(table(spark, d, "article"), table(spark, d, "site"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """(article_id): articles with a placeholder, filler, a message or a notice where real content belongs."""
     return residue.residue_articles(table(spark, d, "article"))
@@ -98,5 +103,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p9_packed, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_bodies, p2_template, p3_found, p5_found, p5_statistics, p6_found, p6_cleaned, p7_found, p7_restored, p8_ids, p8_decoded, p9_packed, p10_found, p10_languages)}
 ORACLES = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
