@@ -10,12 +10,20 @@ from pagewright.functions.text import Text, _c
 #: Formats with a time or zone, then plain ones, in the order in which they are tried.
 ISO_FORMATS = (
     ("yyyy-MM-dd'T'HH:mm:ssXXX", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([+-]\d\d:\d\d|Z)$"),
-    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.(\d{9}|\d{6}|\d{3})([+-]\d\d:\d\d|Z)$"),
     ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"),
     ("yyyy-MM-dd'T'HH:mm:ssxx", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-]\d{4}$"),
     ("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"),
+    ("yyyy-MM-ddX", r"^\d{4}-\d\d-\d\dZ$"),
     ("yyyyMMdd'T'HHmmssX", r"^\d{8}T\d{6}Z$"),
 )
+#: Formats of mails with names of days and months; a zone by its name is UTC.
+MAIL_FORMATS = (
+    ("dd MMM yyyy HH:mm:ss", r"^[A-Z][a-z]{2}, (\d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d) [A-Z]{2,4}$"),
+    ("dd MMM yyyy HH:mm:ss xx", r"^[A-Z][a-z]{2}, (\d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4})$"),
+    ("dd MMM yy HH:mm", r"^(\d\d [A-Z][a-z]{2} \d\d \d\d:\d\d) [A-Z]{2,4}$"),
+    ("dd MMM yy HH:mm xx", r"^(\d\d [A-Z][a-z]{2} \d\d \d\d:\d\d [+-]\d{4})$"),
+    ("dd-MMM-yy HH:mm:ss", r"^[A-Z][a-z]{5,8}, (\d\d-[A-Z][a-z]{2}-\d\d \d\d:\d\d:\d\d) [A-Z]{2,4}$"),
+)
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = r"(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
 #: Phrases around dates; the first occurrence of each is taken out, in this order.
@@ -32,11 +40,15 @@ def _at(seconds: Column) -> Column:
 def parse_iso(value: Text) -> Column:
     """Instants in ISO and mail formats, cut to the second."""
     t = F.trim(_c(value))
-    tries = [F.when(t.rlike(p), F.try_to_timestamp(t, F.lit(f))) for f, p in ISO_FORMATS]
-    mail = F.regexp_replace(t, "^[A-Z][a-z]{2}, ", "")
-    named = F.when(t.rlike(r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d (GMT|UTC|UT)$"), F.try_to_timestamp(F.regexp_replace(mail, " [A-Z]+$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
-    offset = F.when(t.rlike(r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}$"), F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm:ss xx")))
-    return _at(F.coalesce(*tries, named, offset))
+    whole = F.regexp_replace(t, r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)\.\d+", "$1")
+    tries = [F.when(whole.rlike(p), F.try_to_timestamp(whole, F.lit(f))) for f, p in ISO_FORMATS]
+    for f, p in MAIL_FORMATS:
+        own, year = F.regexp_extract(t, p, 1), r"^(\d\d[ -][A-Z][a-z]{2}[ -])(\d\d)(?=[ ])"
+        if "yyyy" not in f:  # two digits of the year: 1969 to 2068
+            century = F.when(F.regexp_extract(own, year, 2).try_cast("int") < 69, "20").otherwise("19")
+            own, f = F.concat(F.regexp_extract(own, year, 1), century, F.substring(own, 8, 100)), f.replace("yy", "yyyy")
+        tries.append(F.when(t.rlike(p), F.try_to_timestamp(own, F.lit(f))))
+    return _at(F.coalesce(*tries))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:

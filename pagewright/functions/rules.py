@@ -4,7 +4,6 @@ from __future__ import annotations
 
 # Thresholds -----------------------------------------------------------------------------------------------------
 CHAR_THRESHOLD = 500
-TOP_CANDIDATES = 5
 MIN_SCORED_BYTES = 25
 LENGTH_DIVISOR, MAX_LENGTH_BONUS = 100.0, 3.0
 SIBLING_SHARE, MIN_SIBLING_SCORE = 0.2, 10.0
@@ -22,7 +21,7 @@ CLASS_WEIGHT = 25
 HASH_LINK_SHARE = 0.3
 WORDS_A_MINUTE = 225
 TIMEOUT_S = 30.0
-MAX_BUFFER = 1024 * 1024
+MIN_LIST_TEXT = 80
 
 # Tag sets -------------------------------------------------------------------------------------------------------
 TAGS_TO_SCORE = frozenset("section h2 h3 h4 h5 h6 p td pre".split())
@@ -69,9 +68,12 @@ DATA_TABLE_WORDS = ("data", "stats", "statistics", "results", "info")
 DATA_TABLE_TAGS = frozenset("col colgroup tfoot thead th".split())
 ABBREVIATIONS = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "St.", "Jr.", "Sr.")
 DECORATIVE_IMAGES = (
-    "spacer", "blank", "pixel", "icon", "logo", "button", "bullet", "arrow", "separator", "divider", "bg", "background", "decoration", "spinner", "loading",
-    "avatar", "emoji", "social", "share",
+    "spacer", "pixel", "transparent", "blank", "dot", "separator", "icon", "logo", "avatar", "button", "banner", "ad", "advertisement", "tracking", "analytics",
+    "pixel.gif", "1x1", "1px", "badge",
 )
+GENERIC_ALT = ("image", "picture", "photo", "img", "graphic", "icon", "logo", "button", "banner", "thumbnail", "placeholder", "spacer")
+#: Areas of content that make an image relevant: tags, parts of a class or identifier, whole classes; and classes of backgrounds.
+IMAGE_AREA_TAGS, IMAGE_AREA_PART, IMAGE_AREA_CLASSES, BACKGROUND_CLASSES = ("article", "main"), "content", ("post", "entry"), ("bg", "background")
 CONTENT_TYPES = ("Unknown", "Reference", "Article", "Technical", "Error", "Minimal", "Paywall")
 
 # Characters -----------------------------------------------------------------------------------------------------

@@ -145,14 +145,21 @@ def word_syllables(word: Column) -> Column:
 
 
 def count_syllables(value: Text) -> Column:
-    """Syllables of all words."""
-    return F.aggregate(words(value), F.lit(0), lambda a, w: a + word_syllables(w))
+    """Syllables of all words, by patterns over the whole text: groups of vowels, each word without one counting for one, without the
+    silent ends of words that have another, and one more for each rhythm."""
+    t = F.lower(F.concat(F.lit(" "), F.regexp_replace(_c(value), r"\s+", " "), F.lit(" ")))
+    groups = F.regexp_count(t, F.lit("[aeiouy]+"))
+    bare = F.regexp_count(t, F.lit("(?<= )[^ aeiouy]++(?= )"))
+    silent = F.regexp_count(t, F.lit("[^ aeiouy]e(?= )")) - F.regexp_count(t, F.lit("(?<= )[^ aeiouy]++e(?= )"))
+    rhythm = F.regexp_count(t, F.lit("(?<= )rhythm(?= )"))
+    return groups + bare - silent + rhythm
 
 
 def reading_level(value: Text) -> Column:
-    """Flesch-Kincaid grade; 0 without words or sentences."""
-    w, s, y = count_words(value), count_sentences(value), count_syllables(value)
-    return F.when((w == 0) | (s == 0) | (_c(value) == "no sentences"), 0.0).otherwise(0.39 * (w / s) + 11.8 * (y / w) - 15.59)
+    """Flesch-Kincaid grade; 0 without words or sentences. Each count is worked out once."""
+    counts = F.array(F.struct(count_words(value).alias("w"), count_sentences(value).alias("s"), count_syllables(value).alias("y"), _c(value).alias("t")))
+    grade = lambda x: F.when((x["w"] == 0) | (x["s"] == 0) | (x["t"] == "no sentences"), 0.0).otherwise(0.39 * (x["w"] / x["s"]) + 11.8 * (x["y"] / x["w"]) - 15.59)
+    return F.when(_c(value).isNotNull(), F.transform(counts, grade)[0])
 
 
 def reading_time(value: Text) -> Column:

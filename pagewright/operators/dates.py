@@ -45,8 +45,6 @@ def clean_byline(text: str) -> str:
 
 def page_byline(html: str) -> str:
     """The author by metadata, then elements, each by score and document order, then paragraphs that begin with By; empty if none."""
-    if 'itemtype="http://schema.org/Article"' in html and 'itemprop="author"' in html:
-        return ""
     root = parse(html)
     nodes = list(root.walk())
     for attribute, name, _ in sorted(BYLINE_METAS, key=lambda x: -x[2]):

@@ -2,15 +2,21 @@
 
 The builder follows the tree rules that the pages need: implied html, head and body; paragraphs closed by block starts; items, cells
 and options closed by their like; raw text in scripts and styles; void elements; stray end tags ignored; an end tag closes
-what is open within it, but not beyond a cell or button.
+what is open within it, but not beyond a cell or button; what may not stand in a table goes before it. Elements nested more than MOST_DEPTH deep become
+siblings at that depth, as in browsers, so that no page is too deep to work on and no content is lost.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Callable, Iterator
 
+#: Levels of nested elements.
+MOST_DEPTH = 512
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * MOST_DEPTH))
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPED_RAW = frozenset(("title", "textarea"))
@@ -30,6 +36,9 @@ CLOSED_BY = {
     "thead": (("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "tfoot": (("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
 }
+#: Parts of a table that hold only other parts, and what may stand in them.
+IN_TABLE = frozenset("table tbody thead tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody tfoot thead tr td th style script template form #comment".split())
 SCOPE_STOPS = frozenset("table td th caption html button object template marquee".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
@@ -204,6 +213,24 @@ class _Builder:
         self.open: list[Node] = [self.root]
         self.lost: list[Node] = []
 
+    def _put(self, n: Node | str) -> None:
+        """Appends to the innermost open element, or before the open table where it may not stand in it."""
+        last = self.open[-1]
+        stray = bool(n.strip()) if isinstance(n, str) else n.tag not in TABLE_PARTS and not (n.tag == "input" and n.get("type") == "hidden")
+        if last.tag in IN_TABLE and stray:
+            table = next((x for x in reversed(self.open) if x.tag == "table"), None)
+            if table is not None and table.parent is not None:
+                parent, i = table.parent, table.index()
+                if isinstance(n, str):
+                    if i and isinstance(parent.children[i - 1], str):
+                        parent.children[i - 1] += n
+                        return
+                else:
+                    n.parent = parent
+                parent.children.insert(i, n)
+                return
+        last.append(n)
+
     def _ensure_body(self) -> None:
         if self.body is None:
             if self.head is None:
@@ -240,7 +267,7 @@ class _Builder:
             self._ensure_body()
         if self.lost and data.strip():
             self._reopen()
-        self.open[-1].append(data)
+        self._put(data)
 
     def _reopen(self) -> None:
         again, self.lost = self.lost, []
@@ -278,11 +305,19 @@ class _Builder:
                 pass
             if tag in ("li", "dd", "dt"):
                 self._close_p()
+        if tag == "tr" and self.open[-1].tag == "table":
+            self.start("tbody", {})
+        elif tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            self.start("tr", {})
+        elif tag == "col" and self.open[-1].tag == "table":
+            self.start("colgroup", {})
         if tag == "a":
             self._close_until(("a",), SCOPE_STOPS)
         if tag not in CLOSES_P and self.lost and tag not in VOID:
             self._reopen()
-        self.open[-1].append(n)
+        if len(self.open) > MOST_DEPTH:
+            self.open.pop()
+        self._put(n)
         if tag not in VOID:
             self.open.append(n)
         return n

@@ -340,7 +340,7 @@ class Page:
         size = M.nbytes(text)
         if n.tag in ("h1", "h2", "h3") or size > 2 * rules.PARAGRAPH_BYTES:
             return False
-        if n.tag in ("ul", "ol") and (len(n.find_all("li")) >= 3 or size > rules.PARAGRAPH_BYTES):
+        if n.tag in ("ul", "ol") and (len(n.find_all("li")) >= 3 or size > rules.PARAGRAPH_BYTES or M.list_has_content(n)):
             return False
         if text.count(",") >= rules.MIN_COMMAS or any(M.is_important_link(a.text()) for a in n.find_all("a")):
             return False
@@ -432,6 +432,10 @@ class Page:
         if not candidates:
             out = Node("div", {"id": "readability-content"})
             for c in list(body.children):
+                if isinstance(c, str) and c.strip():  # text alone is a paragraph
+                    p = Node("p")
+                    p.append(c.strip())
+                    c = p
                 out.append(c)
         else:
             out = self.gather(*self.choose(candidates, body))
@@ -709,9 +713,19 @@ def extract_article(html: pd.Series) -> pd.DataFrame:
     return out
 
 
+@F.udtf(returnType="block_no int, text string, node_index string, content_digest string", useArrow=False)
+class TextBlocks:
+    """The blocks of the article that a page holds, as rows."""
+
+    def eval(self, html: str):
+        for i, b in enumerate(extract_page(html)["plain_text"] or []):
+            yield i, b["text"], b["node_index"], b["content_digest"]
+
+
 def register(spark: SparkSession) -> None:
-    """extract_article for SQL."""
+    """extract_article and the table function text_blocks for SQL; dom_nodes is registered with the node operators."""
     spark.udf.register("extract_article", extract_article)
+    spark.udtf.register("text_blocks", TextBlocks)
 
 
 def article_column(html: str = "html") -> Column:

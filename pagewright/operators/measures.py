@@ -108,6 +108,15 @@ def is_valid_byline(text: str) -> bool:
     return not re.search("[/•·|—-]", t) or sum(map(str.isdigit, t)) <= 0.3 * size
 
 
+def list_has_content(n: Node) -> bool:
+    """Whether the items of a list hold more than links, or much text."""
+    size = links = 0
+    for li in n.find_all("li"):
+        size += nbytes(li.text())
+        links += sum(nbytes(a.text()) for a in li.find_all("a") if a.get("data-type") not in ("indexterm", "noteref"))
+    return bool(size) and (links / size < rules.LIST_LINK_DENSITY or size > rules.MIN_LIST_TEXT)
+
+
 def table_cells(t: Node) -> list[list[Node]]:
     return [r.find_all("td", "th") for r in t.find_all("tr")]
 

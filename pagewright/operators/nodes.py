@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from pagewright.functions import rules
 from pagewright.functions import text as T
 from pagewright.operators import measures as M
-from pagewright.operators.dom import Node, body_of, parse
+from pagewright.operators.dom import RAW, Node, body_of, escape, parse
 from pagewright.operators.extract import prepare
 from pagewright.schema import NODE
 
@@ -24,6 +24,8 @@ from pagewright.schema import NODE
 COUNTED = ("p", "img", "li", "input", "a", "h1", "h2", "h3", "h4", "h5", "h6", "object", "embed", "iframe", "tr", "td", "th", "table", "figure")
 
 
+#: Name under which figures with an image and a caption are counted.
+CAPTIONED = "captioned figure"
 #: Nodes that are handed over together.
 FRAME_ROWS = 5000
 #: Selectors up to which the table of them is sent to every executor.
@@ -38,14 +40,17 @@ def page_nodes(source: str, prepared: bool = True) -> list[dict]:
     out: list[dict] = []
 
     def add(n: Node, parent: int | None, path: list[int], tags: list[str], order: int) -> tuple[int, float, dict[str, int]]:
+        """Adds a node and what is below; gives the bytes of its markup, those of its links' texts, and its counts."""
         node_id = len(out)
         row: dict = {}
         out.append(row)
         counts: dict[str, int] = {}
-        links = 0.0
+        links, size = 0.0, M.nbytes(Node(n.tag, n.attrs).outer_html()) + sum(M.nbytes(c if n.tag in RAW else escape(c)) for c in n.children if isinstance(c, str))
+        captioned = n.tag == "figure" and n.find("figcaption") is not None and n.find("img") is not None
         for i, c in enumerate(n.elements()):
-            _, below, own = add(c, node_id, [*path, node_id], [*tags, n.tag], i)
+            inner, below, own = add(c, node_id, [*path, node_id], [*tags, n.tag], i)
             links += below
+            size += inner
             for k, v in own.items():
                 counts[k] = counts.get(k, 0) + v
             if c.tag in COUNTED:
@@ -56,10 +61,12 @@ def page_nodes(source: str, prepared: bool = True) -> list[dict]:
             own_links = 0.0 if n.get("data-type") in ("indexterm", "noteref") else float(int(M.nbytes(text) * (rules.HASH_LINK_SHARE if n.get("href").startswith("#") and len(n.get("href")) > 1 else 1.0)))
         row.update(
             node_id=node_id, parent_id=parent, path=path, path_tags=tags, depth=len(path), ord=order, tag=n.tag, attrs=dict(n.attrs),
-            own_text="".join(c for c in n.children if isinstance(c, str)), text=text, text_bytes=M.nbytes(text), html_bytes=M.nbytes(n.outer_html()),
+            own_text="".join(c for c in n.children if isinstance(c, str)), text=text, text_bytes=M.nbytes(text), html_bytes=size,
             link_bytes=links, comma_count=text.count(","), tag_counts=counts, visible=M.visible(n),
         )
-        return node_id, own_links, counts
+        if captioned:
+            counts = {**counts, CAPTIONED: counts.get(CAPTIONED, 0) + 1}
+        return size, own_links, counts
 
     add(body_of(root), None, [], [], 0)
     return out
@@ -183,17 +190,19 @@ def content_node_score() -> Column:
         .when(F.col("tag").isin("form", "aside", "footer", "header", "nav"), -10.0)
         .otherwise(0.0)
     )
-    return m["content_density"] * m["link_score"] + m["heading_density"] * 10 + m["list_density"] * 5 + m["image_density"] * 3 + bonus + _count("p") * 5.0
+    return m["content_density"] * m["link_score"] + m["heading_density"] * 10 + m["list_density"] * 5 + m["image_density"] * 3 + bonus + _count("p") * 5.0 + _count(CAPTIONED) * 10.0
 
 
 def tables(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, node_id, rows, columns, cells, nesting, kind): each table's shape and whether it holds data, lays out, or navigates."""
     t = nodes.where(F.col("tag") == "table")
     nesting = F.size(F.filter("path_tags", lambda x: x == "table"))
-    inside = nodes.select(key, "node_id", "tag", "attrs", "text", F.explode("path").alias("table_id"), "path").join(t.select(key, F.col("node_id").alias("table_id")), [key, "table_id"])
-    cells = inside.where(F.col("tag").isin("td", "th")).join(
-        inside.where(F.col("tag") == "tr").select(key, "table_id", F.col("node_id").alias("row_id")), [key, "table_id"]
-    ).where(F.array_contains("path", F.col("row_id")))
+    marking = nodes.where(F.col("tag").isin("caption", *rules.DATA_TABLE_TAGS)).select(key, "tag", "text", F.explode(F.arrays_zip("path", "path_tags")).alias("at"))
+    inside = marking.where(F.col("at.path_tags") == "table").select(key, F.col("at.path").alias("table_id"), "tag", "text")
+    in_table = nodes.where(F.col("tag").isin("td", "th")).select(key, "attrs", "path", "path_tags")
+    steps = in_table.select(key, "attrs", F.explode(F.arrays_zip("path", "path_tags")).alias("at"), "path", "path_tags").where(F.col("at.path_tags") == "table")
+    below = F.filter(F.arrays_zip("path", "path_tags"), lambda x: (x["path_tags"] == "tr") & (x["path"] > F.col("at.path")))
+    cells = steps.select(key, F.col("at.path").alias("table_id"), "attrs", F.explode(F.transform(below, lambda x: x["path"])).alias("row_id"))
     span = F.coalesce(F.try_element_at("attrs", F.lit("colspan")).try_cast("int"), F.lit(1))
     by_row = cells.groupBy(key, "table_id", "row_id").agg(F.count("*").alias("n"), F.sum(span).alias("wide"))
     shape = by_row.groupBy(key, "table_id").agg(F.max("wide").cast("int").alias("columns"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("filled"))
@@ -224,17 +233,24 @@ def images(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     i = nodes.where(F.col("tag") == "img").withColumn("figure_at", F.array_position(F.reverse("path_tags"), "figure").cast("int"))
     i = i.withColumn("figure_id", F.when(F.col("figure_at") > 0, F.try_element_at(F.reverse("path"), F.col("figure_at"))))
     i = i.join(captions, [key, "figure_id"], "left")
+    named = F.contains(_attr("id"), F.lit(rules.IMAGE_AREA_PART)) | F.contains(_attr("class"), F.lit(rules.IMAGE_AREA_PART))
+    whole = F.arrays_overlap(F.split(_attr("class"), r"\s+"), F.array(*map(F.lit, rules.IMAGE_AREA_CLASSES)))
+    areas = nodes.where(F.col("tag").isin(*rules.IMAGE_AREA_TAGS) | named | whole).select(key, F.col("node_id").alias("area_id"))
+    within = i.select(key, "node_id", F.explode("path").alias("area_id")).join(areas, [key, "area_id"]).select(key, "node_id").distinct()
+    i = i.join(within.withColumn("in_content", F.lit(True)), [key, "node_id"], "left").withColumn("in_content", F.coalesce("in_content", F.lit(False)))
     alt, src = _attr("alt"), F.lower(_attr("src"))
     caption = F.coalesce(*[F.when(c != "", c) for c in (F.coalesce("figcaption", F.lit("")), alt, _attr("title"), _attr("aria-label"))])
     number = lambda n: _attr(n).try_cast("int")
     small = number("width").between(1, 99) & number("height").between(1, 99)
-    decorative = src.rlike("|".join(rules.DECORATIVE_IMAGES))
-    generic = F.lower(F.trim(alt)).isin("", "image", "photo", "picture", "img", "icon", "logo", "graphic", "illustration")
-    content = F.exists("path_tags", lambda t: t.isin("article", "main", "section"))
-    background = (_attr("role") == "presentation") | T.has_word(_attr("class"), ("background", "bg-"))
+    decorative = F.lit(False)
+    for part in rules.DECORATIVE_IMAGES:
+        decorative = decorative | F.contains(src, F.lit(part))
+    generic = F.lower(alt).isin("", *rules.GENERIC_ALT)
+    classes = F.split(_attr("class"), r"\s+")
+    background = (_attr("role") == "presentation") | F.arrays_overlap(classes, F.array(*map(F.lit, rules.BACKGROUND_CLASSES))) | F.contains(_attr("style"), F.lit("background-image"))
     relevant = (
-        F.when(F.coalesce(small, F.lit(False)), False).when(decorative, False).when(~generic & (F.octet_length(alt) > 10), True).when(F.col("figcaption").isNotNull(), True)
-        .when(content, True).when(background, False).otherwise(True)
+        F.when(F.coalesce(small, F.lit(False)), False).when(decorative, False).when(~generic, True).when(F.col("figcaption").isNotNull(), True)
+        .when(F.col("in_content"), True).when(background, False).otherwise(True)
     )
     return i.select(key, "node_id", _attr("src").alias("src"), alt.alias("alt"), number("width").alias("width"), number("height").alias("height"), _attr("title").alias("title"), caption.alias("caption"), relevant.alias("relevant"))
 
@@ -277,18 +293,19 @@ def node_indexes(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     steps = nodes.select(key, "node_id", (F.col("ord") + 1).cast("string").alias("step"))
     up = nodes.select(key, F.col("node_id").alias("own"), F.posexplode(F.concat("path", F.array("node_id"))).alias("i", "node_id"))
     joined = up.join(steps, [key, "node_id"]).groupBy(key, "own").agg(F.array_sort(F.collect_list(F.struct("i", "step"))).alias("s"))
-    tail = F.transform(F.slice("s", 2, 10_000), lambda x: x["step"])
+    tail = F.transform(F.filter("s", lambda x, i: i > 0), lambda x: x["step"])
     return joined.select(key, F.col("own").alias("node_id"), F.concat_ws(".", F.lit("0"), F.concat_ws(".", tail)).alias("node_index")).withColumn("node_index", F.regexp_replace("node_index", r"\.$", ""))
 
 
 def selector_scores(nodes: DataFrame, selectors: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, value, score, selectors): values of attributes or texts that weighted selectors hit; equal values add their scores. selectors:
     (selector, tag, attribute, word, value_of, score) with null for any tag or attribute, and text or an attribute's name in value_of."""
-    hit = (F.coalesce(F.col("s.tag") == F.col("n.tag"), F.lit(True))) & F.coalesce(
-        F.contains(F.try_element_at("n.attrs", F.col("s.attribute")), F.col("s.word")), F.col("s.attribute").isNull()
-    )
     small = F.broadcast(selectors) if selectors.limit(MOST_SELECTORS + 1).count() <= MOST_SELECTORS else selectors
-    both = nodes.alias("n").join(small.alias("s"), hit)
-    value = F.when(F.col("s.value_of") == "text", F.col("n.text")).otherwise(F.try_element_at("n.attrs", F.col("s.value_of")))
-    found = both.select(F.col(f"n.{key}").alias(key), F.trim(value).alias("value"), "s.score", "s.selector").where("value != ''")
+    s = small.select(F.coalesce("tag", F.lit("")).alias("_tag"), F.coalesce("attribute", F.lit("")).alias("_attribute"), "word", "value_of", "score", "selector")
+    # an equal join: each node by its tag or none, and each of its attributes or none
+    pairs = F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value"))), F.map_entries("attrs"))
+    n = nodes.select(key, "attrs", "text", F.explode(pairs).alias("x"), "tag").select(key, "attrs", "text", F.col("x.key").alias("_attribute"), F.col("x.value").alias("_held"), F.explode(F.array("tag", F.lit(""))).alias("_tag"))
+    both = n.join(s, ["_tag", "_attribute"]).where((F.col("_attribute") == "") | F.contains("_held", "word"))
+    value = F.when(F.col("value_of") == "text", F.col("text")).otherwise(F.try_element_at("attrs", F.col("value_of")))
+    found = both.select(key, F.trim(value).alias("value"), "score", "selector").where("value != ''")
     return found.groupBy(key, "value").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("selector")).alias("selectors"))

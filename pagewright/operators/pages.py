@@ -5,13 +5,25 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampType
 
 from pagewright.operators.dates import page_byline, page_date
 from pagewright.operators.dom import parse
 from pagewright.operators.extract import article_title
+from pagewright.session import cut, sent
+
+
+def once(pages: DataFrame, key: str = "page_id", when: str = "fetched_at") -> DataFrame:
+    """The pages, each key once: of several deliveries the earliest, of those of one time the one whose contents hash least. Only the keys are gathered, to
+    find those delivered again; of the markup, only these rows move. Rows without a key count as one page."""
+    again = sent(cut(pages.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    repeated = pages.join(again, same, "left_semi")
+    rank = F.struct(F.col(when), F.xxhash64(*pages.columns))
+    chosen = repeated.groupBy(key).agg(F.min_by(F.struct(*pages.columns), rank).alias("row")).select("row.*")
+    return pages.join(again, same, "left_anti").unionByName(chosen)
 
 
 @F.pandas_udf(StringType())

@@ -17,22 +17,21 @@ from pagewright.operators.extract import index_nodes, node_digest, normalize_tex
 
 #: Elements that go with their contents, that give way to their contents, that are written with signs, and that are known.
 DELETED = frozenset(
-    "area audio base button canvas command datalist embed fieldset figure form frame frameset head iframe img input keygen label legend link map math menu meta "
-    "noframes noscript object optgroup option param picture progress script select source style svg template textarea title track video".split()
+    "button datalist fieldset form input label legend meter optgroup option output progress select textarea area img map picture source audio track video "
+    "embed iframe math object param svg details dialog summary canvas noscript script template data link style nav".split()
 )
-UNWRAPPED = frozenset("abbr address bdi bdo center cite code data del dfn em font i ins kbd mark meter output ruby s samp small span strong time tt u var b big".split())
+UNWRAPPED = frozenset("a abbr address b bdi bdo center cite code del dfn em i ins kbs mark rb ruby rp rt rtc s samp small span strong time u var wbr".split())
 SIGNED = {"q": ('"', '"'), "sub": ("_", ""), "sup": ("^", "")}
-BLOCKS = frozenset("article aside blockquote caption colgroup col div dl dt dd figcaption footer h1 h2 h3 h4 h5 h6 header li main ol p pre section table tbody td tfoot th thead tr ul".split())
-KNOWN = BLOCKS | UNWRAPPED | DELETED | frozenset(SIGNED) | frozenset("a body br hr html nav details summary dialog".split())
-CHROME = frozenset("nav footer header aside".split())
-CHROME_WORDS = ("nav", "menu", "sidebar", "footer", "breadcrumb")
+BLOCKS = frozenset("article aside blockquote caption colgroup col div dl dt dd figure figcaption footer h1 h2 h3 h4 h5 h6 header li main ol p pre section table tbody td tfoot th thead tr ul".split())
+KNOWN = BLOCKS | UNWRAPPED | DELETED | frozenset(SIGNED) | frozenset("html head body meta link base title br hr".split())
+#: Page chrome by tag, by part of a class or identifier, and by whole class.
+CHROME, CHROME_PARTS, CHROME_CLASSES = frozenset("nav footer header aside".split()), ("nav", "menu", "sidebar", "footer", "header"), frozenset(("ad", "advertisement"))
 NOT_IN_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre section table ul".split()
 )
 CONTAINERS = frozenset("article aside blockquote div footer header li main section td th dd body".split())
 KEPT_DATA = frozenset(("data-src", "data-srcset", "data-content-digest", "data-node-index"))
-GENERIC_ALT = frozenset(("image", "photo", "picture", "img", "icon", "logo", "graphic", "illustration"))
 
 
 @dataclass(frozen=True)
@@ -73,8 +72,8 @@ def strip_attributes(e: Node) -> None:
 def remove_blacklist(e: Node) -> None:
     """Elements of no text, page chrome by tag or class, and elements that are mostly links."""
     _each(e, DELETED | CHROME, Node.remove)
-    for n in e.find_all("div", "section", "ul", "ol", "p", "table"):
-        if n.parent is not None and (any(w in n.key.lower() for w in CHROME_WORDS) or (n.text() and M.link_density(n) > 0.5)):
+    for n in list(e.walk()):
+        if n.parent is not None and (any(w in n.key for w in CHROME_PARTS) or CHROME_CLASSES & set(n.get("class").split()) or (n.text() and M.link_density(n) > 0.5)):
             n.remove()
 
 
@@ -266,6 +265,11 @@ def preserve_structure(source: str) -> str:
     return body.inner_html()
 
 
+def is_content_area(n: Node) -> bool:
+    named = rules.IMAGE_AREA_PART in n.get("id") or rules.IMAGE_AREA_PART in n.get("class")
+    return n.tag in rules.IMAGE_AREA_TAGS or named or bool(set(rules.IMAGE_AREA_CLASSES) & set(n.get("class").split()))
+
+
 # Images ---------------------------------------------------------------------------------------------------------------
 def is_relevant_image(n: Node) -> bool:
     """Whether an image belongs to the content; the first rule that tells."""
@@ -274,15 +278,14 @@ def is_relevant_image(n: Node) -> bool:
         return False
     if any(w in n.get("src").lower() for w in rules.DECORATIVE_IMAGES):
         return False
-    alt = n.get("alt").strip()
-    if len(alt) > 10 and alt.lower() not in GENERIC_ALT:
+    alt = n.get("alt")
+    if alt and alt.lower() not in rules.GENERIC_ALT:
         return True
-    figure = next((a for a in n.ancestors() if a.tag == "figure"), None)
-    if figure is not None and figure.find("figcaption") is not None:
+    if any(a.tag == "figure" and a.find("figcaption") is not None for a in n.ancestors()):
         return True
-    if any(a.tag in ("article", "main", "section") for a in n.ancestors()):
+    if any(is_content_area(a) for a in n.ancestors()):
         return True
-    return not (n.get("role") == "presentation" or "background" in n.get("class") or "bg-" in n.get("class"))
+    return not (n.get("role") == "presentation" or set(rules.BACKGROUND_CLASSES) & set(n.get("class").split()) or "background-image" in n.get("style"))
 
 
 def image_caption(n: Node) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import nodes as N
 from pagewright.operators.extract import extract_articles
 from pagewright.operators.simplify import restructured, simplified
-from pagewright.operators.pages import page_date_column, page_title_column
+from pagewright.operators.pages import once, page_date_column, page_title_column
 from pagewright.options import ExtractOptions
 from pagewright.session import cut
 from pagewright.sources.tables import table
@@ -17,7 +17,7 @@ _P = "FROM pages WHERE html IS NOT NULL"
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").where(F.col("html").isNotNull()).select("page_id", "url", "html", "fetched_at").dropDuplicates(["page_id"])
+    return once(table(spark, d, "pages").where(F.col("html").isNotNull()).select("page_id", "url", "html", "fetched_at"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:

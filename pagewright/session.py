@@ -8,18 +8,30 @@ import zipfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder that the session names in spark.checkpoint.dir, so that an executor's loss costs no
-    recomputation. Only where none is named, as in tests on one machine, a folder of our own is set."""
+    recomputation. Only where none is named and all runs on one machine, as in tests, a folder of our own is set; a cluster must name one."""
     sc = SparkSession.getActiveSession().sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
     return df.checkpoint()
 
 
+#: Rows of a table that is sent to every executor at most; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to every executor if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 @cache
 def _archive(application: str) -> str:
     """The package as a zip archive on the driver's machine, from where Spark hands it to the executors."""

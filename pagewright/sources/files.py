@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import sys
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +47,28 @@ def output_column(form: str) -> Column:
 
 
 def write_articles(articles: DataFrame, path: str, form: str = "json", mode: str = "error") -> None:
-    """Articles as text files of one record a line (JSON), or one record a row with its path (html, text), written by the executors."""
+    """Articles written by the executors: text files of one record a line (JSON), or one file for each article (html, text), named after its path below a
+    folder that all executors share. Two articles of one path write one file, the last of them."""
     if form == "json":
         articles.select(output_column("json").alias("value")).write.mode(mode).text(path)
-    else:
-        articles.select("path", output_column(form).alias("value")).write.mode(mode).parquet(path)
+        return
+    root, suffix = path.removeprefix("file://").rstrip("/"), {"html": ".html", "text": ".txt"}[form]
+    if mode == "error" and os.path.exists(root):
+        raise FileExistsError(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for source, value in zip(pdf["path"], pdf["value"]):
+                own = re.sub(r"^[a-z]+:/*", "", source or "page").lstrip("/")
+                to = os.path.normpath(os.path.join(root, os.path.splitext(own)[0] + suffix))
+                if not to.startswith(root + os.sep):
+                    raise ValueError(f"{source} leads out of the folder")
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                part = f"{to}.{os.getpid()}.part"
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(value)
+                os.replace(part, to)
+            yield pdf[["path"]]
+
+    os.makedirs(root, exist_ok=True)
+    articles.select("path", output_column(form).alias("value")).mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()

@@ -25,7 +25,8 @@ PAGE = f"""<!DOCTYPE html><html lang="en"><head><title>A fine story about rivers
     [
         ("<p>a<p>b", "<p>a</p><p>b</p>"),
         ("<ul><li>a<li>b</ul>", "<ul><li>a</li><li>b</li></ul>"),
-        ("<table><tr><td>1<td>2<tr><td>3</table>x", "<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>x"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>x", "<table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>x"),
+        ("<table>a<tr>b<td>1</table>", "ab<table><tbody><tr><td>1</td></tr></tbody></table>"),
         ("<p>a<b>b<p>c</b>d", "<p>a<b>b</b></p><p><b>c</b>d</p>"),
         ("a</div>b", "ab"),
         ("<script>'</p>'</script>x &amp; y", "<script>'</p>'</script>x &amp; y"),
@@ -202,7 +203,8 @@ def test_files_and_sinks(spark, tmp_path):
     for form in files.FORMATS:
         files.write_articles(articles, str(tmp_path / form), form)
     assert json.loads(spark.read.text(str(tmp_path / "json")).first()[0])["title"] == "A fine story about rivers"
-    assert spark.read.parquet(str(tmp_path / "text")).first()["value"].endswith("\n\n")
+    (written,) = (tmp_path / "text").rglob("a.txt")
+    assert written.read_text().endswith("\n\n")
     with pytest.raises(ValueError):
         files.output_column("xml")
 
@@ -225,3 +227,37 @@ def test_errors(spark):
     assert [r[0] for r in df.select(errors.is_error_type("error", "parse")).collect()] == [True, False]
     calls = []
     assert errors.with_fallback(lambda: errors.with_retry(lambda: calls.append(1) or 1 / 0, pause=0), lambda: "f") == "f" and len(calls) == 3
+
+
+def test_deep_pages():
+    deep = "<div>" * 3000 + f"<p>{TEXT}</p>" + "</div>" * 3000
+    rows = N.page_nodes(deep)
+    assert any(r["tag"] == "p" and r["text"].startswith("This is") for r in rows) and max(r["depth"] for r in rows) <= 512
+    assert TEXT.strip() in extract_page(deep)["plain_content"]
+    for r in N.page_nodes(PAGE):
+        if r["tag"] == "body":
+            body = body_of(parse(PAGE))
+            prepare(body.parent)
+            assert r["html_bytes"] == len(body.outer_html().encode())
+
+
+def test_each_page_once(spark):
+    from pagewright.operators.pages import once
+
+    rows = [(1, "u", "a", 5), (1, "u", "b", 3), (1, "v", "b", 3), (2, "u", "c", 1), (3, None, None, None), (3, None, None, None), (None, "x", "y", 1)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, fetched_at int")
+    got = sorted(map(tuple, once(df).collect()), key=str)
+    assert len(got) == 4 and got == sorted(map(tuple, once(df.orderBy(F.desc("html"))).collect()), key=str)
+    assert [r for r in got if r[0] == 1][0][2:] == ("b", 3)
+    assert once(df.limit(0)).count() == 0
+
+
+def test_files_of_articles(spark, tmp_path):
+    from pagewright.sources.files import write_articles
+
+    rows = [("dir/a.html", "<p>a</p>", [("x",)]), ("b.html", None, [])]
+    df = spark.createDataFrame(rows, "path string, content string, plain_text array<struct<text:string>>")
+    write_articles(df, str(tmp_path / "h"), "html")
+    assert (tmp_path / "h" / "dir" / "a.html").read_text() == "<p>a</p>" and (tmp_path / "h" / "b.html").read_text() == ""
+    write_articles(df, str(tmp_path / "t"), "text")
+    assert (tmp_path / "t" / "dir" / "a.txt").read_text() == "x\n\n"
