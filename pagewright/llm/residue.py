@@ -2,8 +2,8 @@
 
 Placeholders are found by one grammar for each kind of delimiter, outside of code. A placeholder that a text shows on
 purpose, in a passage about templates or among program code, doesn't count: the words around it and the share
-of code in the article decide. Filler, messages and notices count only as a whole element of the page, so that a sentence about
-such things doesn't.
+of code in the article decide. Filler, messages and notices count only as a whole element of the page, of any length, so that a sentence about
+such things doesn't; messages are told by their vocabulary, not by their wording.
 
 Defined results: null and empty content is no case; a repeated article counts once.
 """
@@ -13,13 +13,13 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.lookalikes import consistent
+from pagewright.llm.messages import is_message
 
 _NAME = r"[A-Za-z_][\w.-]{0,60}"
 #: Grammars of unfilled placeholders by delimiter.
@@ -41,40 +41,11 @@ PLACEHOLDERS = {
 TUTORIAL = re.compile(r"\b(?:template|placeholder|syntax|tutorial|variable|snippet|Vorlage|Platzhalter|gabarit|plantilla|modelo|шаблон)", re.I)
 #: Characters on either side of a placeholder that are looked at, and the share of code from which an article is about code.
 AROUND, CODE_SHARE = 120, 0.5
-#: Whole elements that a page shows instead of content; 0 stands for a number, § for a name.
-MESSAGES = {
-    "en": """Your session has expired. Please sign in again.|Checking your browser before you continue.|0 Bad Gateway|0 – Page not found
-Fatal error: call to a member function on null in § on line 0|Sorry, this story is no longer available.|Too many requests. Slow down and try again in a minute.
-This site needs scripts to run. Turn them on and reload.|Access denied. You do not have permission to view this page.|Our site is down for maintenance and will be back shortly.
-Please enable JavaScript to continue.|The page you requested could not be found on §.|This content is not available in your region.
-Error 0: internal server error. Please try again later.|Your browser is out of date and cannot show this content.|Database connection could not be established (code 0).
-Placeholder text. Replace this paragraph with your own content before going live.|Sample paragraph number 0. Edit or delete it, then start writing!
-This is dummy copy that only shows how the final text will run. It says nothing and is meant to be replaced.""",
-    "de": """Ohne Skripte kann dieser Inhalt nicht dargestellt werden.|Seite nicht gefunden (Fehler 0)|Dieser Beitrag ist leider nicht mehr verfügbar.
-Die angeforderte Seite konnte bei § nicht gefunden werden.|Zugriff verweigert. Sie haben keine Berechtigung für diese Seite.|Ihr Browser ist veraltet und kann die Seite nicht anzeigen.
-Interner Serverfehler. Bitte versuchen Sie es später erneut.|Bitte aktivieren Sie JavaScript, um fortzufahren.|Ihre Sitzung ist abgelaufen. Bitte melden Sie sich neu an.
-Wegen Wartungsarbeiten ist § vorübergehend nicht erreichbar.|Hier steht später Ihr Text. Bitte Absatz 0 vor der Veröffentlichung ersetzen.
-Dies ist ein Blindtext, der nur zeigt, wie die Schrift später läuft. Er sagt nichts und soll ersetzt werden.""",
-    "fr": """Erreur 0 : page introuvable|Votre session a expiré, reconnectez-vous.|Ce contenu ne peut s'afficher sans scripts.|Accès refusé. Vous n'avez pas les droits nécessaires.
-Le site est en maintenance et revient bientôt.|La page demandée n'existe pas ou plus sur §.|Erreur interne du serveur. Veuillez réessayer plus tard.
-Cet article n'est plus disponible.|Veuillez activer JavaScript pour continuer.|Remplacez ce paragraphe 0 par votre contenu.
-Ceci est un faux texte qui montre seulement la mise en page. Il devra être remplacé.""",
-    "es": """Este contenido necesita scripts para mostrarse.|Su sesión ha caducado. Inicie sesión de nuevo.|Este artículo ya no está disponible.|Error 0: página no encontrada
-Acceso denegado. No tiene permiso para ver esta página.|La página solicitada no existe en §.|El sitio está en mantenimiento y volverá pronto.|Active JavaScript para continuar.
-Error interno del servidor. Vuelva a intentarlo más tarde.|Escriba aquí su contenido. Párrafo de muestra 0.|Este es un texto de relleno que solo muestra la composición. Hay que sustituirlo.""",
-    "pt": """O sítio está em manutenção.|Ative o JavaScript para continuar.|Este artigo já não está disponível.|Acesso negado. Não tem permissão para ver esta página.
-A página pedida não existe em §.|Erro 0: página não encontrada|Este é um texto de enchimento que só mostra a composição. Deve ser substituído.""",
-    "ru": """Эта статья больше недоступна.|Доступ запрещён.|Включите JavaScript, чтобы продолжить.|Ошибка 0: страница не найдена|Ведутся технические работы, зайдите позже.
-Запрошенная страница не существует.|Это пример текста, который показывает вид страницы. Замените его своим.""",
-}
-#: Patterns of short whole elements of the same kinds in other words.
-FURTHER = (
-    r"(?:error|http|fehler|erreur|erro|ошибка)?\s*[45]\d\d\b.{0,12}?(?:not found|bad gateway|forbidden|server error|unavailable|nicht gefunden|introuvable|no encontrada|não encontrada|не найдена).{0,40}",
-    r"(?:please |bitte )?(?:enable|turn on|activate|aktivieren sie|activez|active|ative|включите) (?:java ?script|cookies).{0,60}",
-    r".{0,60}(?:java ?script|scripts?) (?:is|are) (?:required|disabled|needed).{0,60}",
-    r"(?:access denied|forbidden|unauthorized|service unavailable|internal server error|page not found|bad gateway|gateway timeout).{0,80}",
-    r"(?:uncaught|fatal error|parse error|warning|notice|traceback)\b.{0,40}(?:exception|error|undefined|call to|line \d+|most recent call).{0,100}",
-)
+#: Grammars of whole elements that a program wrote: a status code with or without its name, and a trace of an error.
+STATUS = r"(?:error|http|fehler|erreur|erro|errore|fout|ошибка)[\s:]*[45]\d\d|[45]\d\d\W+(?:not found|bad gateway|forbidden|(?:internal )?server error|(?:service )?unavailable|gateway time-?out|unauthorized|bad request)|(?:not found|forbidden|unauthorized|bad gateway|gateway time-?out|service unavailable|bad request|too many requests)\W*"
+TRACE = r"(?:uncaught|(?:php )?(?:fatal|parse|syntax|runtime) error|warning|notice|deprecated|traceback)\b.*?(?:exception|undefined (?:variable|index|offset|function|property)|call to (?:a|an|undefined)\b|stack trace|most recent call|in \S+ on line \d+).*"
+#: An article of so few characters is nothing but its status code, if it holds one.
+BARE_CODE = 40
 EMPTY_VALUES = r"(?:(?:undefined|null|none|nan|\(null\)|\[object Object\]|n/a|nil)\s*)+"
 #: Words of the usual meaningless Latin filler.
 LATIN = frozenset(
@@ -94,13 +65,8 @@ _ANY_PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()
 _QUICK = re.compile(r"\{\{|\{%|<%|&lt;%|<\?|&lt;\?|\$\{|#\{|%%|@@|\[\[[+*~]|\[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add|TBD|TBA|TODO|TK)\b|\b(?:TBD|TBA|TODO|TK)\]|goes here")
 
 
-@lru_cache(1)
-def _messages() -> re.Pattern:
-    listed = []
-    for lines in MESSAGES.values():
-        for m in re.split(r"[|\n]", lines):
-            listed.append(re.escape(m).replace(r"\ ", r"\s+").replace("0", r"\d+").replace("§", ".{1,80}"))
-    return re.compile(rf"(?:(?:{'|'.join(listed)})\s*)+|{EMPTY_VALUES}|{'|'.join(FURTHER)}", re.I)
+_PROGRAM = re.compile(rf"{EMPTY_VALUES}|{STATUS}|{TRACE}", re.I | re.S)
+_CODE_ONLY = re.compile(r"\W*(?:40[0134]|410|429|50[0234])\W*")
 
 
 def placeholder_in(text: str, code: int = 0) -> bool:
@@ -129,18 +95,14 @@ def has_residue(content: str | None) -> bool:
     code = len(content) - len(text)
     if _QUICK.search(text) and placeholder_in(html.unescape(_TAG.sub(lambda m: m[0] if m[0].startswith(("<%", "<?")) else "\n", text)), code):
         return True
-    messages = _messages()
-    for part in _BLOCK.split(text):
-        if part and (part := _TAG.sub("", part).strip()):
-            if len(part) <= 260:
-                if "&" in part:
-                    part = html.unescape(part)
-                part = consistent(part)
-                if messages.fullmatch(part) or is_filler(part):
-                    return True
-            elif is_filler(part):
-                return True
-    return False
+    shown = [p for x in _BLOCK.split(text) if x and (p := _TAG.sub("", x).strip())]
+    for part in shown:
+        if "&" in part:
+            part = html.unescape(part)
+        part = consistent(part)
+        if is_message(part) or is_filler(part) or _PROGRAM.fullmatch(part):
+            return True
+    return sum(map(len, shown)) <= BARE_CODE and any(map(_CODE_ONLY.fullmatch, shown))
 
 
 def residue_articles(articles: DataFrame) -> DataFrame:
