@@ -92,6 +92,20 @@ def test_texts_about_such_things(text):
         (":ref:`word` and `link`_", "word and link"),
         ("* one thing. * two", "- one thing.\n- two"),
         ("h2. Part", "## Part"),
+        ("<table><tr><td>Berlin</td><td>42</td></tr><tr><td>Rom</td><td>7</td></tr></table>", "Berlin | 42\nRom | 7"),
+        ("Use &amp;lt;b&amp;gt; to show", "Use <b> to show"),
+        ("Use &lt;b&gt; and <i>more</i>", "Use <b> and more"),
+        ("&lt;em&gt;so&lt;/em&gt; it is", "so it is"),
+        ("a code span `&lt;div&gt;` stays", "a code span `<div>` stays"),
+        ("don''t **go**", "don''t go"),
+        ("''so'' and '''so''' and '''''so'''''", "so and so and so"),
+        ("<pre>if a:\n    b = 1\n</pre> end", "```\nif a:\n    b = 1\n```\nend"),
+        ("as <code>a  *b* c</code> shows", "as `a  *b* c` shows"),
+        (r"\begin{equation} a_1 = b \end{equation} end", r"\begin{equation} a_1 = b \end{equation} end"),
+        ("so {{math|x^2 + 1}} is {{lang|fr|bonjour}} {{cite|a=1}}", "so $x^2 + 1$ is bonjour"),
+        ("{| class=x\n|-\n| a || b\n|-\n| c || d\n|}", "a | b\nc | d"),
+        ("**" + "long " * 80 + "end** x", "long " * 80 + "end x"),
+        ("{{box|" + "a=b " * 120 + "}} x", "x"),
     ],
 )
 def test_conversion(text, cleaned):
