@@ -2,12 +2,12 @@
 
 Candidates are the text itself and what chains of re-encoding and decoding make of it: UTF-8 that was
 read as a single-byte encoding, in whole or in part and up to three times over, and one single-byte encoding read
-as another. Each candidate's description length is its size after compression with a dictionary of its language, plus
+as another, and that signs were lost. Each candidate's description length is its least size after compression with the dictionary of each language, plus
 the cost of the chain; the shortest is chosen, and the text is left unchanged where no chain is shorter. A candidate with
 characters outside ordinary text of the supported languages, or with more breaks of case than the text, is no candidate.
 
-Defined results: null and empty text is unaffected; text with replacement characters, or with signs within words that
-no candidate explains, is affected and can't be wholly restored, so the restored text keeps them.
+Defined results: null and empty text is unaffected; a text whose shortest description is that signs were lost is affected (chain lost) and can't be wholly
+restored, so the restored text keeps what stands in their place.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "k
 COST_BREAK = 1.5
 #: Bytes that a sign costs that no ordinary text holds and that isn't a look-alike letter.
 COST_ODD = 2.0
+#: Bytes that such a sign costs beyond that at a Latin letter.
+COST_WITHIN = 1.0
+#: Bytes that a replacement character costs, which no original holds.
+COST_REPLACEMENT = 8.0
+#: Bytes that a lost letter costs, and the loss itself.
+COST_LOST, COST_LOSS = 1.0, 1.0
 #: Bytes that a chain costs: UTF-8 repaired, one more level of it, and an exchange of single-byte encodings.
 COST_UTF8, COST_AGAIN, COST_EXCHANGE = 1.0, 0.5, 2.0
 #: Bytes that an exchange costs where no odd sign or break tells of one.
@@ -95,7 +101,11 @@ _HALF = frozenset(c for k in CODECS for c in _decoded(k)[128:] if UNUSUAL.match(
 
 #: Those of them that aren't letters of Cyrillic, nor of Greek with a Latin likeness, nor ligatures.
 _ODD = frozenset(c for c in _HALF if not "\u0400" <= c <= "\u052f") - frozenset("αγιουνρτχΑΒΕΖΗΙΚΜΝΟΡΤΥΧﬁﬂ")
-_IN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ](?:" + "|".join(map(re.escape, sorted(c for c in _ODD if not c.isalpha() or "\u0370" <= c <= "\u03ff"))) + ")[A-Za-zÀ-ÖØ-öø-ÿ]")
+_SIGN = "(?:" + "|".join(map(re.escape, sorted(c for c in _ODD if not c.isalpha() or "\u0370" <= c <= "\u03ff"))) + ")"
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_AT_WORD = re.compile(f"(?<={_LETTER}){_SIGN}|{_SIGN}(?={_LETTER})")
+#: What stands where a sign was lost: the sign for it, or an odd sign between two letters.
+_LOST_SIGNS = re.compile(f"{_LOST}|(?<={_LETTER}){_SIGN}(?={_LETTER})")
 
 
 _WITH_ODD = re.compile("[^\\s“”„«»‘’—–]*[" + "".join(map(re.escape, sorted(_ODD))) + "][^\\s“”„«»‘’—–]*")
@@ -203,34 +213,37 @@ class Restorer:
         for lang, text in content.items():
             data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.tools[lang] = zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
-        self.latin = [k for k in self.tools if k != "ru"]
 
-    def length(self, text: str, lang: str) -> int:
-        return len(self.tools[lang].compress(text.encode("utf-8", "surrogatepass")))
+    def length(self, text: str) -> int:
+        """The least size of a text over the dictionaries of all languages."""
+        data = text.encode("utf-8", "surrogatepass")
+        return min(len(tool.compress(data)) for tool in self.tools.values())
 
     def restore(self, text: str | None) -> tuple[str | None, str]:
         """The original text and the chain to it; the text itself and an empty chain where it is unaffected."""
         if not text or not suspicious(text):
             return text, ""
         found = candidates(text)
-        if len(found) == 1:
-            return text, "lost" if _LOST in text or _IN_WORD.search(text) else ""
-        ascii_part = NON_ASCII.sub("", text)
-        lang = min(self.latin, key=lambda k: (self.length(ascii_part, k), k)) if self.latin else None
+        without = _LOST_SIGNS.sub("", text)
+        if len(found) == 1 and without == text:
+            return text, ""
         breaks, odd, best = len(_BREAK.findall(text)), set(UNUSUAL.findall(text)), None
         mixed = len(_TWO_SCRIPTS.findall(text))
         for t, (cost, chain) in found.items():
-            letters = NON_ASCII.findall(t)
-            russian = sum("а" <= c.lower() <= "ё" for c in letters) * 3 > len(t)
             new = set(UNUSUAL.findall(t)) - odd
             if t is not text and (len(_BREAK.findall(t)) > breaks or not all(map(_FINE.match, new))):
                 continue
-            size = self.length(t, "ru" if russian and "ru" in self.tools else lang or "ru") + cost + COST_BREAK * len(_BREAK.findall(t)) + COST_ODD * odd_signs(t)
+            size = self.length(t) + cost + COST_BREAK * len(_BREAK.findall(t)) + COST_ODD * odd_signs(t) + COST_REPLACEMENT * t.count(_LOST) + COST_WITHIN * len(_AT_WORD.findall(t))
             size += COST_BREAK * (len(_sequences("cp1252").findall(t)) + len(_sequences("mac-roman").findall(t)))
             size += COST_ODD * max(0, len(_TWO_SCRIPTS.findall(t)) - mixed)
             if best is None or (size, cost) < best[:2]:
                 best = (size, cost, t, chain)
-        return best[2], best[3].strip() or ("lost" if _LOST in text or _IN_WORD.search(text) else "")
+        if (at := _LOST_SIGNS.sub("", best[2])) != best[2]:
+            # the shortest text, or that its signs between letters were lost: one letter each
+            lost = len(best[2]) - len(at)
+            if self.length(at) + best[1] + COST_LOSS + COST_LOST * lost + COST_BREAK * len(_BREAK.findall(at)) < best[0]:
+                return best[2], f"{best[3]}lost"
+        return best[2], best[3].strip()
 
     def affected(self, text: str | None) -> bool:
         return bool(text) and suspicious(text) and bool(self.restore(text)[1])

@@ -102,6 +102,8 @@ def test_measures():
     common = frozenset(("the", "a"))
     m = dict(zip(quality.STATISTICS, quality.measure("The cat saw a dog. It ran!", common)))
     assert m["words"] == 7 and m["end_punctuation"] == 1 and abs(m["common_share"] - 2 / 7) < 1e-9 and m["digit_ratio"] == 0
+    lines = dict(zip(quality.STATISTICS, quality.measure("A line ends here.\nanother one does not\n\nDoes this one?\nno", common)))
+    assert lines["end_punctuation"] == 0.5
     assert quality.measure(None, common) == quality.measure("", common) == (0.0,) * len(quality.STATISTICS)
 
 
