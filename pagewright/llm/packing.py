@@ -195,7 +195,9 @@ def places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
 
 
 def packed(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", directory: str | None = None) -> DataFrame:
-    """(spec_id, key, piece_no, first_token, tokens, container_id): the place of each document, or of each of its parts if it is larger than a container."""
+    """(spec_id, key, piece_no, first_token, tokens, container_id): the place of each document, or of each of its parts if it is larger than a container. A part
+    that fills a container has one of its own and needs no rank among its like, which may be most of all parts; its number is beyond those of the others,
+    which count from 1."""
     wanted = [(r["spec_id"], r["tokenizer"], r["capacity"]) for r in specs.select("spec_id", "tokenizer", "capacity").dropna().distinct().collect()]
     names = sorted({t for _, t, _ in wanted})
     sized = cut(token_counts(documents, names, key, text, directory))
@@ -208,8 +210,8 @@ def packed(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: st
         .select("spec_id", "capacity", key, F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * F.col("capacity")).alias("first_token"),
                 F.least("capacity", F.expr("size - piece_no * capacity")).alias("tokens"))
     )
-    salted = items.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(SALTS)).cast("int"))
-    per_salt = salted.where("tokens > 0").groupBy("spec_id", "capacity", "tokens", "salt").agg(F.count("*").alias("n"))
+    salted = items.where("tokens > 0 AND tokens < capacity").withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(SALTS)).cast("int"))
+    per_salt = salted.groupBy("spec_id", "capacity", "tokens", "salt").agg(F.count("*").alias("n"))
     histogram = per_salt.groupBy("spec_id", "capacity", "tokens").agg(F.sum("n").alias("n"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,16 +219,20 @@ def packed(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: st
         return pd.DataFrame(rows, columns=["tokens", "begin", "end", "container", "each"]).assign(spec_id=pdf["spec_id"].iloc[0])
 
     slots = histogram.groupBy("spec_id").applyInPandas(plan, "tokens bigint, begin bigint, end bigint, container bigint, each bigint, spec_id int")
+    slots = cut(slots)
+    last = slots.groupBy("spec_id").agg(F.max(F.expr("container + (end - begin + each - 1) div each")).alias("next"))
+    alone = items.where(F.col("tokens") == F.col("capacity")).withColumn("turn", F.monotonically_increasing_id())
+    whole = alone.join(F.broadcast(last), "spec_id", "left").select("spec_id", key, "piece_no", "first_token", "tokens", (F.coalesce("next", F.lit(1)) + F.col("turn")).alias("container_id"))
     slots = slots.groupBy("spec_id", "tokens").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "container", "each"))).alias("slots"))
     if sum(c for _, _, c in wanted) <= BROADCAST_CAPACITY:
         slots = F.broadcast(slots)
     by_size = Window.partitionBy("spec_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_salt.select("spec_id", "tokens", "salt", F.coalesce(F.sum("n").over(by_size), F.lit(0)).alias("offset"))
     within = Window.partitionBy("spec_id", "tokens", "salt").orderBy(key, "piece_no")
-    ranked = salted.where("tokens > 0").withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["spec_id", "tokens", "salt"])
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["spec_id", "tokens", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("offset")).join(slots, ["spec_id", "tokens"])
     mine = F.element_at(F.filter("slots", lambda x: (F.col("rank") >= x["begin"]) & (F.col("rank") < x["end"])), 1)
     ranked = ranked.withColumn("slot", mine)
     full = ranked.select("spec_id", key, "piece_no", "first_token", "tokens", (F.col("slot.container") + F.expr("(rank - slot.begin) div slot.each")).alias("container_id"))
     empty = items.where("tokens = 0").select("spec_id", key, "piece_no", "first_token", "tokens", F.lit(1).cast("bigint").alias("container_id"))
-    return full.unionByName(empty)
+    return full.unionByName(whole).unionByName(empty)
