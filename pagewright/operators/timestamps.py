@@ -14,6 +14,7 @@ the zone never uses. Fractions of a second are cut off.
 
 from __future__ import annotations
 
+import os
 import re
 import zoneinfo
 from functools import cache
@@ -158,11 +159,23 @@ def zone_version() -> str:
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        pass
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, "tzdata.zi")
+        if os.path.exists(path):
+            with open(path, encoding="ascii", errors="replace") as f:
+                return f.readline().split()[-1]
+    return "system"
+
+
+#: Years of the transition tables: those of most dates, those before, and one whole cycle of the calendar after, which stands for all later ones.
+ERAS = {"main": (1968, 2101), "early": (1800, 1970), "late": (2099, 2502)}
+#: Seconds of a cycle of the calendar, after which days, weekdays and so the rules of zones repeat.
+CYCLE = 146_097 * 86_400
 
 
 @cache
-def transitions(zone: str, first: int = 1969, last: int = 2100) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
+def transitions(zone: str, era: str = "main") -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
     """UTC seconds from which each offset holds, the offsets in seconds, and the abbreviations' offsets.
     None for an unknown zone."""
     import datetime as dt
@@ -171,12 +184,13 @@ def transitions(zone: str, first: int = 1969, last: int = 2100) -> tuple[np.ndar
         z = zoneinfo.ZoneInfo(zone)
     except Exception:
         return None
+    first, last = ERAS[era]
     utc = dt.timezone.utc
     at = lambda s: dt.datetime.fromtimestamp(s, utc).astimezone(z)
     off = lambda s: int(at(s).utcoffset().total_seconds())
     lo = int(dt.datetime(first, 1, 1, tzinfo=utc).timestamp())
     end = int(dt.datetime(last, 1, 1, tzinfo=utc).timestamp())
-    starts, offsets, names = [-(2**62)], [off(lo)], {at(lo).tzname(): off(lo)}
+    starts, offsets, names = [-(2**62)], [off(lo)], {at(lo).tzname(): off(lo)} if era == "main" else {}
     step = 7 * 86400
     for s in range(lo, end, step):
         a, b = s, s + step
@@ -186,7 +200,7 @@ def transitions(zone: str, first: int = 1969, last: int = 2100) -> tuple[np.ndar
                 a, b = (mid, b) if off(mid) == off(a) else (a, mid)
             starts.append(b)
             offsets.append(off(b))
-        if s > 1262304000:  # abbreviations in use since 2010
+        if era == "main" and s > 1262304000:  # abbreviations in use since 2010
             names[at(b).tzname()] = off(b)
     names |= {k: v * 60 for k, v in EXTRA_ABBREVIATIONS.get(zone, {}).items()}
     if offsets[-1] in (3600, 7200) and {"CET", "CEST"} & set(names):
@@ -195,8 +209,21 @@ def transitions(zone: str, first: int = 1969, last: int = 2100) -> tuple[np.ndar
 
 
 def local_to_utc(local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
-    """UTC seconds of local seconds, and whether each local time exists exactly once."""
-    table = transitions(zone)
+    """UTC seconds of local seconds of any year, and whether each local time exists exactly once."""
+    result, once = local.copy(), np.zeros(len(local), bool)
+    bounds = {"early": (-(2**62), -31_536_000), "main": (-31_536_000, 4_102_444_800), "late": (4_102_444_800, 2**62)}  # 1969-01-01 and 2100-01-01
+    for era, (lo, hi) in bounds.items():
+        own = (local >= lo) & (local < hi)
+        if own.any():
+            # the late table holds the years from 2100 to 2499
+            shift = (local[own] - lo) // CYCLE * CYCLE if era == "late" else 0
+            utc, once[own] = _in_era(local[own] - shift, zone, era)
+            result[own] = utc + shift
+    return result, once
+
+
+def _in_era(local: np.ndarray, zone: str, era: str) -> tuple[np.ndarray, np.ndarray]:
+    table = transitions(zone, era)
     if table is None:
         return local, np.zeros(len(local), bool)
     starts, offsets, _ = table
@@ -333,7 +360,7 @@ def normalise_timestamps(rows: DataFrame, sites: DataFrame, key: str = "article_
     stated = rows.select(F.col(key), "site_id", F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     return (
         stated.join(places, "site_id", "left")
-        .select(F.col(key), utc_instant("_value", "tz", "date_order").alias("utc"))
+        .select(F.col(key), utc_instant("_value", "tz", "date_order").alias("utc", metadata={"zone_version": zone_version()}))
         .where(F.col("utc").isNotNull())
         .distinct()
     )
