@@ -313,12 +313,11 @@ def _convert(fields: dict[str, int], tokens: list[list[str]], places: list[int],
         return result, ok
     named = np.array([v[at["iana"]] for v in tokens], object) if "iana" in at else zones
     for zone in set(named):
-        own = named == zone
+        own = (named == zone) & ok
         if not zone:
             ok &= ~own
-            continue
-        result[own], once = local_to_utc(local[own], zone)
-        ok[own] &= once
+        elif own.any():
+            result[own], ok[own] = local_to_utc(local[own], zone)
     return result, ok
 
 

@@ -10,7 +10,7 @@ from pagewright.operators.extract import extract_articles
 from pagewright.operators.simplify import restructured, simplified
 from pagewright.operators.pages import once, page_date_column, page_title_column
 from pagewright.options import ExtractOptions
-from pagewright.session import cut
+from pagewright.session import cut, shared_folder
 from pagewright.sources.tables import table
 
 _P = "FROM pages WHERE html IS NOT NULL"
@@ -123,10 +123,22 @@ def dom_item_texts(spark, d):
     return nodes.select("page_id", "text").distinct()
 
 
+def stream_articles(spark, d):
+    """(page_id): the pages whose articles a stream of the pages' files writes, each once."""
+    from pagewright.streaming import articles as A
+
+    schema = table(spark, d, "pages").schema
+    folder = shared_folder("stream")
+    pages = A.page_stream(spark, f"{d}/pages.parque[t]", schema).where(F.col("html").isNotNull())
+    A.write_stream(A.article_stream(pages).select("page_id", "fetched_at", "title", "error"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("page_id bigint").parquet(f"{folder}/out").distinct()
+
+
 _ONCE = "(SELECT page_id, min(html) AS html FROM pages WHERE html IS NOT NULL GROUP BY page_id)"
-_ALL = (extract_pages, extract_with_digests, page_titles, page_dates, page_text_blocks, dom_nodes, dom_headings, dom_links, node_index, candidate_scores, top_candidates, top_siblings, main_content, node_densities, table_kinds, page_images, typed_blocks, simplified_pages, restructured_pages, dom_hrefs, dom_item_texts)
+_ALL = (extract_pages, extract_with_digests, page_titles, page_dates, page_text_blocks, dom_nodes, dom_headings, dom_links, node_index, candidate_scores, top_candidates, top_siblings, main_content, node_densities, table_kinds, page_images, typed_blocks, simplified_pages, restructured_pages, dom_hrefs, dom_item_texts, stream_articles)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
+    "stream_articles": f"SELECT DISTINCT page_id {_P}",
     "dom_hrefs": f"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM {_ONCE}""",
     "dom_item_texts": f"""SELECT DISTINCT page_id, regexp_replace(x, '<[^>]*>', '', 'g') AS text FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<li[^>]*>(.*?)</li>', 1)) AS x FROM {_ONCE})""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from functools import cache
 
@@ -11,15 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that the session names in spark.checkpoint.dir, so that an executor's loss costs no
-    recomputation. Only where none is named and all runs on one machine, as in tests, a folder of our own is set; a cluster must name one."""
+def _checkpoint_dir() -> str:
     sc = SparkSession.getActiveSession().sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{_checkpoint_dir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder that the session names in spark.checkpoint.dir, so that an executor's loss costs no
+    recomputation. Only where none is named and all runs on one machine, as in tests, a folder of our own is set; a cluster must name one."""
+    _checkpoint_dir()
     return df.checkpoint()
 
 
