@@ -643,10 +643,10 @@ def extract_page(source: str | None, options: ExtractOptions = ExtractOptions(),
         _append_links(article, kept)
         _fix_links(article, base)
         _simplify(article)
-        excerpt = meta["excerpt"] or next((t for p in article.find_all("p") if (t := p.text())), "")
-        _clean_classes(article, options.kept_classes)
         for f in [n for n in article.walk() if n.tag == "footer" or "footer" in n.get("class").split()]:
             f.remove()
+        excerpt = meta["excerpt"] or next((t for p in article.find_all("p") if (t := p.text())), "")
+        _clean_classes(article, options.kept_classes)
         title, text = meta["title"], article.text()
         kind = options.content_type or 2
         lowered = title.lower()
@@ -723,7 +723,7 @@ class TextBlocks:
 
 
 def register(spark: SparkSession) -> None:
-    """extract_article and the table function text_blocks for SQL; dom_nodes is registered with the node operators."""
+    """extract_article and the table function text_blocks for SQL; nodes.register adds that of nodes."""
     spark.udf.register("extract_article", extract_article)
     spark.udtf.register("text_blocks", TextBlocks)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
@@ -309,3 +309,17 @@ def selector_scores(nodes: DataFrame, selectors: DataFrame, key: str = "page_id"
     value = F.when(F.col("value_of") == "text", F.col("text")).otherwise(F.try_element_at("attrs", F.col("value_of")))
     found = both.select(key, F.trim(value).alias("value"), "score", "selector").where("value != ''")
     return found.groupBy(key, "value").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("selector")).alias("selectors"))
+
+
+@F.udtf(returnType="node_id int, parent_id int, depth int, tag string, text string", useArrow=False)
+class DomNodes:
+    """The elements of a page's body, as rows."""
+
+    def eval(self, html: str):
+        for r in page_nodes(html) if html else ():
+            yield r["node_id"], r["parent_id"], r["depth"], r["tag"], r["text"]
+
+
+def register(spark: SparkSession) -> None:
+    """The table function dom_nodes for SQL."""
+    spark.udtf.register("dom_nodes", DomNodes)

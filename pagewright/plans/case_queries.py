@@ -542,6 +542,18 @@ def _table_function(df: DataFrame) -> DataFrame:
 BLOCKED = [("two", f"<article><p>First of them, {_LONG}</p><p>Second of them, {_LONG}</p></article>")]
 _columns("udtf_cases", "name VARCHAR, block_no INTEGER, text VARCHAR", BLOCKED, [("two", 0, f"First of them, {_LONG}".strip()), ("two", 1, f"Second of them, {_LONG}".strip())], _table_function)
 
+
+
+def _node_function(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    N.register(spark)
+    df.createOrReplaceTempView("pagewright_node_cases")
+    return spark.sql("SELECT c.name, n.node_id, n.parent_id, n.depth, n.tag, n.text FROM pagewright_node_cases c, LATERAL dom_nodes(c.input) n")
+
+
+_columns("node_udtf_cases", "name VARCHAR, node_id INTEGER, parent_id INTEGER, depth INTEGER, tag VARCHAR, text VARCHAR", [("two", "<p>a <b>b</b></p>"), ("none", None)],
+         [("two", 0, None, 0, "body", "a b"), ("two", 1, 0, 1, "p", "a b"), ("two", 2, 1, 2, "b", "b")], _node_function)
+
 ERRORS = [("parse", "parse|extract|bad input|", "[parse:extract] bad input"), ("cause", "timeout|extract|too slow|after 30 s", "[timeout:extract] too slow: after 30 s"), ("validation", "validation|new|no page|", "[validation:new] no page")]
 
 
