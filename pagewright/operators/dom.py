@@ -1,7 +1,7 @@
 """A small document tree built from loose HTML, row-local within one Arrow batch.
 
 The builder follows the tree rules that the pages need: implied html, head and body; paragraphs closed by block starts; items, cells
-and options closed by their like; raw text in scripts and styles; void elements; stray end tags ignored; an end tag closes
+and options closed by their like; formatting that a block begins in parted around it; raw text in scripts and styles; void elements; stray end tags ignored; an end tag closes
 what is open within it, but not beyond a cell or button; what may not stand in a table goes before it. Elements nested more than MOST_DEPTH deep become
 siblings at that depth, as in browsers, so that no page is too deep to work on and no content is lost.
 """
@@ -24,6 +24,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu "
     "nav ol p pre section summary table ul".split()
 )
+BLOCKS = CLOSES_P | frozenset(("li", "dd", "dt"))
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
 #: For a start tag, the open elements that it closes and those that stop the search.
 CLOSED_BY = {
@@ -322,6 +323,21 @@ class _Builder:
             self.open.append(n)
         return n
 
+    def _part(self, i: int) -> None:
+        """Ends a formatting element that a block has begun in: the block goes behind it and holds a copy of it around what the block holds so far."""
+        outer, block = self.open[i], self.open[i + 1]
+        block.remove()
+        outer.parent.children.insert(outer.index() + 1, block)
+        block.parent = outer.parent
+        inner = Node(outer.tag, dict(outer.attrs))
+        for c in list(block.children):
+            if isinstance(c, Node):
+                c.parent = None
+            inner.append(c)
+        block.children = []
+        block.append(inner)
+        del self.open[i]
+
     def end(self, tag: str) -> None:
         if tag in ("html", "head", "body"):
             if tag == "head" and self.head is not None:
@@ -340,6 +356,9 @@ class _Builder:
         for i in range(len(self.open) - 1, 1, -1):
             t = self.open[i].tag
             if t == tag:
+                if tag in FORMATTING and len(self.open) > i + 1 and self.open[i + 1].tag in BLOCKS:
+                    self._part(i)
+                    return
                 if tag in FORMATTING or tag == "p":
                     self.lost = [Node(n.tag, dict(n.attrs)) for n in self.open[i + 1 :] if n.tag in FORMATTING] if tag == "p" else []
                 del self.open[i:]

@@ -91,6 +91,9 @@ TREES = [
     ("definitions", "<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"),
     ("heading closes paragraph", "<p>a<h2>b</h2>", "<p>a</p><h2>b</h2>"),
     ("end of paragraph alone", "</p>a", "<p></p>a"),
+    ("formatting across a block", "<b>a<p>b</b>c</p>d", "<b>a</b><p><b>b</b>c</p>d"),
+    ("link across a block", '<a href="/x"><div>b</a>c</div>', '<a href="/x"></a><div><a href="/x">b</a>c</div>'),
+    ("formatting across paragraphs", "<p>a<b>b<p>c</b>d", "<p>a<b>b</b></p><p><b>c</b>d</p>"),
 ]
 _mapped("tree_cases", "string", "VARCHAR", TREES, lambda n, i: _body(i, lambda b: None))
 
