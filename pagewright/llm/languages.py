@@ -31,7 +31,7 @@ PROFILE = 3000
 OWN = 400
 #: Entries that a table of units and counts may have beyond four for each n-gram; where it would have more, n-grams are sorted instead, with the same result.
 LEAST_TABLE = 1_000_000
-#: Characters of texts that are scored together; a longer text is scored alone and whole.
+#: Characters of texts that are scored together; a longer text is scored whole, too, but its n-grams are counted in parts.
 SLICE = 200_000
 #: Share of each neighbour's evidence and the most that it counts: first to find the languages of a text, then to give each line one.
 FIND, DECIDE = (0.3, 0.15), (0.1, 0.06)
@@ -109,18 +109,19 @@ class Scorer:
         """The out-of-place distance of each of n units to each profile, as the mean over the unit's distinct n-grams, and their number of n-grams. units: the
         unit of each n-gram. A unit's n-grams are ranked by how often it holds them, those held equally often share the first of their places; most: how
         many places, from the most frequent down, are compared; None for all. An n-gram that a profile lacks counts as at its end."""
-        if not len(grams):
+        return self._from_counts(*_counted(units.astype(np.int64) * _W**3 + grams), n, most)
+
+    def _from_counts(self, keys: np.ndarray, counts: np.ndarray, n: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As distances, of n-grams that are counted: keys hold the unit and the n-gram and rise."""
+        if not len(keys):
             return np.zeros((n, len(self.langs))), np.zeros(n)
-        keys = units.astype(np.int64) * _W**3 + grams
-        keys.sort()
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.diff(np.append(first, len(keys)))
-        unit, gram = np.divmod(keys[first], _W**3)
+        unit, gram = np.divmod(keys, _W**3)
+        numbers = np.bincount(unit, weights=counts, minlength=n)
         own = _shared_places(unit, counts, n)
         if most is not None:
             keep = own < most
             unit, gram, own = unit[keep], gram[keep], own[keep]
-        sums, numbers = np.zeros((n, len(self.langs))), np.bincount(units, minlength=n).astype(float)
+        sums = np.zeros((n, len(self.langs)))
         d = self.places[gram]
         d -= _log_place(own)[:, None]
         np.abs(d, out=d)
@@ -143,7 +144,37 @@ class Scorer:
                 size += len(t)
         return out
 
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As documents, of one text of any length: its lines are worked off in groups of no more than SLICE characters, a longer line in parts."""
+        means, numbers, at, end = [], [], 0, len(text)
+        whole, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while at <= end:
+            stop = text.rfind("\n", at, at + SLICE) if end - at > SLICE else end
+            if stop < 0:
+                stop = text.find("\n", at + SLICE)
+                stop = end if stop < 0 else stop
+            c = np.concatenate([[0], classes_of(text[at:stop]), [0, 0]]).astype(np.uint8)
+            lines = text.count("\n", at, stop) + 1
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(text[at:stop].encode("utf-32-le", "surrogatepass"), np.uint32) == 10), [lines - 1]])
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for lo in range(0, len(c) - 2, SLICE):
+                hi = min(lo + SLICE, len(c) - 2)
+                g = _grams(c[lo : hi + 2])
+                where = [np.flatnonzero(row >= 0) for row in g]
+                part = np.concatenate([ends[lo + w].astype(np.int64) * _W**3 + row[w] for row, w in zip(g, where)])
+                keys, counts = _added(keys, counts, *_counted(part))
+            m, k = self._from_counts(keys, counts, lines)
+            means.append(m)
+            numbers.append(k)
+            order = np.argsort(keys % _W**3, kind="stable")
+            whole, number = _added(whole, number, keys[order] % _W**3, counts[order])
+            at = stop + 1
+        own, _ = self._from_counts(whole, number, 1, OWN)
+        return np.concatenate(means), np.concatenate(numbers), own[0]
+
     def _group(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            return [self._long(texts[0])]
         whole = "".join([f"{t}\n" for t in texts])
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         c = np.concatenate([[0], _classes()[np.minimum(codes, 0xFFFF)], [0]]).astype(np.uint8)
@@ -217,6 +248,24 @@ def _sure(own: np.ndarray, chosen: int) -> float:
     return float(1 - np.exp(-max(np.delete(own, chosen).min() - own[chosen], 0) / LEAD)) if len(own) > 1 else 1.0
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, rising, and how often each stands."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two counts as one."""
+    both, n = np.concatenate([keys, more]), np.concatenate([counts, number])
+    if not len(both):
+        return both, n
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], n[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    return both[first], np.add.reduceat(n, first)
+
+
 def _shared_places(unit: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """For each n-gram of a unit, how many of the unit's n-grams are more frequent. unit rises."""
     most = int(counts.max()) + 1
