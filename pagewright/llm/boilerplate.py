@@ -3,7 +3,8 @@
 Each element of a page is cut into atoms: sentences, labels, list items, and the lead before a colon, whose rest is a
 slot. Numbers and the site's name are slots too. A token is a word in its context, the atom and the tag path it stands in; the tokens of one atom occur
 together. Over the pages of one host, a token's occurrence vector tells on which stories it stands and how often; copies
-of a story count once. Hosts of fewer than OWN_HOST stories, too few for vectors that tell, are taken together as one host for each language. Tokens of
+of a story count once. Each host, of any size, has vectors of its own, and so has the pool of all hosts of its language, which tells template parts that stand on too few stories of
+one host; an atom is template if it is so on its host or in the pool. Tokens of
 equal vectors on enough stories form an equivalence class. A class is valid if its atoms stand in one order on all its pages and no other
 class's span crosses its own, so that classes nest in the template; one that isn't falls apart into its atoms. Beyond that, one of its words must hardly occur on
 pages outside of such atoms, which tells the template's tokens from the body's.
@@ -30,9 +31,7 @@ from pagewright.session import cut
 
 #: Words in an element up to which what follows a lead is a slot; more words must recur themselves.
 ELEMENT_WORDS = 60
-#: Stories of a host from which its pages tell a template of their own: so many that what stands on one page in five hundred stands on enough of them.
-OWN_HOST = 1500
-#: Stories that an equivalence class must stand on, and share of the stories of its host, or of the hosts of few pages of its language. What recurs by chance keeps below the share at any size.
+#: Stories that an equivalence class must stand on, and share of the stories of its host, or of all hosts of its language. What recurs by chance keeps below the share at any size.
 CLASS_STORIES, HOST_SHARE, POOL_SHARE = 3, 1e-3, 5e-4
 #: Share of a token's pages that must lie in such atoms.
 OWN_SHARE = 0.75
@@ -226,21 +225,26 @@ TYPES = {"article_id": "Int64", "title": "Int64", "node_no": "Int32", "in_plain"
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(unit, own_host, lang, article_id, story, node_no, heading, in_plain, place, h, atom, letters): each atom with the host or pool of hosts that its page belongs to."""
-    stories = found.select("lang", "site_id", "story").distinct()
-    hosts = stories.groupBy("lang", "site_id").agg(F.count("*").alias("n")).where((F.col("n") >= OWN_HOST) & F.col("site_id").isNotNull())
-    own = cut(hosts.select("lang", "site_id", F.lit(True).alias("own_host")))
-    placed = _joined(found, own, ["lang", "site_id"], "left", "article_id").withColumn("own_host", F.coalesce("own_host", F.lit(False)))
-    unit = F.when(F.col("own_host"), F.xxhash64("lang", "site_id")).otherwise(F.xxhash64("lang"))
-    atoms = placed.select(unit.alias("unit"), "own_host", "path", "lang", "article_id", "story", "node_no", "heading", "in_plain", F.posexplode("atoms").alias("at", "x"))
+    """(lang, site_id, article_id, story, node_no, heading, in_plain, place, h, atom, letters): each atom; h tells it with its path."""
+    atoms = found.select("path", "lang", "site_id", "article_id", "story", "node_no", "heading", "in_plain", F.posexplode("atoms").alias("at", "x"))
     place = F.col("node_no").cast("bigint") * 1_000_000 + F.col("at")
-    return cut(atoms.select("unit", "own_host", "lang", "article_id", "story", "node_no", "heading", "in_plain", place.alias("place"), F.xxhash64("path", "x.atom").alias("h"), "x.atom", "x.letters"))
+    return cut(atoms.select("lang", "site_id", "article_id", "story", "node_no", "heading", "in_plain", place.alias("place"), F.xxhash64("path", "x.atom").alias("h"), "x.atom", "x.letters"))
 
 
-def equivalence_classes(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, h, cls, stories): the atoms on enough stories, each with its equivalence class, and their (unit, h, article_id, first, last) on each page. Tokens
-    of equal occurrence vectors have one class; a class without one order on its pages, or whose span another's crosses, falls apart into its atoms."""
-    sizes = cut(atoms.select("unit", "own_host", "story").distinct().groupBy("unit", "own_host").agg(F.count("*").alias("all")))
+def _with_units(rows: DataFrame) -> DataFrame:
+    """The rows with (unit, own_host, host), once for the pool of all hosts of their language and, where it is known, once for their host. The pool's host is null."""
+    pool = F.struct(F.xxhash64("lang").alias("unit"), F.lit(False).alias("own_host"), F.lit(None).cast("int").alias("host"))
+    own = F.struct(F.xxhash64("lang", "site_id").alias("unit"), F.lit(True).alias("own_host"), F.col("site_id").cast("int").alias("host"))
+    units = F.when(F.col("site_id").isNull(), F.array(pool)).otherwise(F.array(pool, own))
+    return rows.withColumn("_unit", F.explode(units)).select(*rows.columns, "_unit.*")
+
+
+def equivalence_classes(atoms: DataFrame, told: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unit, own_host, h, cls, stories): the atoms on enough stories, each with its equivalence class, and their (unit, h, article_id, first, last) on each page. Tokens
+    of equal occurrence vectors have one class; a class without one order on its pages, or whose span another's crosses, falls apart into its atoms. told: (unit, own_host,
+    story) of all stories, if atoms don't hold them all."""
+    told = atoms.select("unit", "own_host", "story") if told is None else told
+    sizes = cut(told.distinct().groupBy("unit", "own_host").agg(F.count("*").alias("all")))
     recurrent = cut(atoms.groupBy("unit", "h").agg(F.count("*").alias("n")).where(F.col("n") >= CLASS_STORIES).select("unit", "h"))
     kept = _joined(atoms.select("unit", "h", "story", "article_id", "place"), recurrent, ["unit", "h"], "left_semi", "article_id")
     on_page = cut(kept.groupBy("unit", "h", "story", "article_id").agg(F.count("*").alias("times"), F.min("place").alias("first"), F.max("place").alias("last")))
@@ -248,7 +252,7 @@ def equivalence_classes(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     vectors = on_story.groupBy("unit", "h").agg(F.count("*").alias("stories"), F.bit_xor(F.xxhash64("story", "times")).alias("vector"))
     least = F.greatest(F.lit(CLASS_STORIES), F.when(F.col("own_host"), HOST_SHARE).otherwise(POOL_SHARE) * F.col("all"))
     frequent = _joined(vectors, sizes, ["unit"], "inner", "h").where(F.col("stories") >= least)
-    frequent = cut(frequent.select("unit", "h", "stories", F.xxhash64("unit", "stories", "vector").alias("cls")))
+    frequent = cut(frequent.select("unit", "own_host", "h", "stories", F.xxhash64("unit", "stories", "vector").alias("cls")))
     placed = cut(_joined(on_page, frequent, ["unit", "h"], "inner", "article_id").select("unit", "h", "cls", "article_id", "first", "last"))
     several = cut(frequent.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"))
     lines = _joined(placed, several, ["cls"], "left_semi", "article_id").groupBy("unit", "cls", "article_id")
@@ -261,7 +265,7 @@ def equivalence_classes(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossing = spans.select(F.explode(F.transform(across, lambda x: x["cls"])).alias("cls")).distinct()
     broken = cut(unordered.unionByName(crossing).distinct()).withColumn("broken", F.lit(True))
     cls = F.when(F.col("broken"), F.xxhash64("unit", "h")).otherwise(F.col("cls"))
-    return cut(_joined(frequent, broken, ["cls"], "left", "h").select("unit", "h", cls.alias("cls"), "stories")), placed
+    return cut(_joined(frequent, broken, ["cls"], "left", "h").select("unit", "own_host", "h", cls.alias("cls"), "stories")), placed
 
 
 def _words_of(atom: str) -> Column:
@@ -269,15 +273,28 @@ def _words_of(atom: str) -> Column:
 
 
 def template(atoms: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, h, cls, stories) of the atoms of valid classes, and (lang, word) of the words that tell them."""
-    classes, placed = equivalence_classes(atoms)
-    shown = _joined(atoms.select("unit", "h", "article_id", "lang", "atom"), classes.select("unit", "h", "cls"), ["unit", "h"], "inner", "article_id")
-    texts = cut(shown.drop("article_id").dropDuplicates(["unit", "h"]).select("unit", "h", "cls", "lang", F.explode(_words_of("atom")).alias("word")))
-    on_pages = _joined(placed.select("unit", "h", "article_id"), texts.drop("cls"), ["unit", "h"], "inner", "article_id").select("lang", "word", "article_id").distinct()
+    """(lang, unit, host, h, cls, stories) of the atoms of valid classes, and (lang, word) of the words that tell them. host: null for those valid in the pool of
+    their language, which hold on every host; a host has those that the pool hasn't."""
+    recurrent = cut(atoms.groupBy("lang", "h").agg(F.count("*").alias("n")).where(F.col("n") >= CLASS_STORIES).select("lang", "h"))
+    kept = cut(_joined(atoms.select("lang", "site_id", "article_id", "story", "place", "h"), recurrent, ["lang", "h"], "left_semi", "article_id"))
+    stories = cut(_with_units(atoms.select("lang", "site_id", "story").distinct()).select("lang", "unit", "own_host", "host", "story"))
+    classes, placed = equivalence_classes(_with_units(kept), stories.select("unit", "own_host", "story"))
+    units = cut(stories.select("lang", "unit", "host").distinct())
+    classes = cut(_joined(classes, units, ["unit"], "inner", "h"))
+    in_pool = cut(classes.where(~F.col("own_host")).select("lang", "h"))
+    beside = _joined(classes.where("own_host"), in_pool, ["lang", "h"], "left_anti", "unit").select("unit", "h")
+    counted = classes.where(~F.col("own_host")).select("unit", "h").unionByName(beside).withColumn("counted", F.lit(True))  # a page's atom once, not for pool and host
+    shown = _joined(atoms.select("lang", "h", "article_id", "atom"), cut(classes.select("lang", "h").distinct()), ["lang", "h"], "left_semi", "article_id")
+    shown = cut(shown.groupBy("lang", "h").agg(F.min("atom").alias("atom")).select("lang", "h", _words_of("atom").alias("words")))
+    texts = _joined(classes.select("lang", "unit", "h", "cls"), shown, ["lang", "h"], "inner", "unit")
+    texts = cut(_joined(texts, cut(counted), ["unit", "h"], "left", "h").select("lang", "unit", "h", "cls", "counted", F.explode("words").alias("word")))
+    on_pages = _joined(placed.select("unit", "h", "article_id"), texts.where("counted").drop("cls", "counted"), ["unit", "h"], "inner", "article_id").select("lang", "word", "article_id").distinct()
     within = cut(on_pages.groupBy("lang", "word").agg(F.count("*").alias("within")))
     own = cut(_joined(words, within, ["lang", "word"], "inner", "word").where(F.col("within") >= OWN_SHARE * F.col("total")).select("lang", "word"))
     valid = cut(_joined(texts, own, ["lang", "word"], "left_semi", "h").select("cls").distinct())
-    return cut(_joined(classes, valid, ["cls"], "left_semi", "h")), own
+    valid = cut(_joined(classes, valid, ["cls"], "left_semi", "h").select("lang", "unit", "host", "h", "cls", "stories"))
+    pooled = cut(valid.where("host IS NULL").select("lang", "h"))
+    return cut(valid.where("host IS NULL").unionByName(_joined(valid.where("host IS NOT NULL"), pooled, ["lang", "h"], "left_anti", "unit").select(*valid.columns))), own
 
 
 def _marked(articles: DataFrame, sites: DataFrame) -> DataFrame:
@@ -287,7 +304,9 @@ def _marked(articles: DataFrame, sites: DataFrame) -> DataFrame:
     valid, own = template(atoms, words)
     node = ("article_id", "in_plain", "node_no", "heading")
     letters = F.col("letters") + F.lit(0.01)
-    marked = _joined(atoms, valid.select("unit", "h", F.lit(True).alias("valid")), ["unit", "h"], "left", "article_id")
+    marked = _joined(atoms, valid.where("host IS NULL").select("lang", "h", F.lit(True).alias("in_pool")), ["lang", "h"], "left", "article_id")
+    on_host = valid.where("host IS NOT NULL").select("lang", F.col("host").alias("site_id"), "h", F.lit(True).alias("on_host"))
+    marked = _joined(marked, on_host, ["lang", "site_id", "h"], "left", "article_id").withColumn("valid", F.coalesce("in_pool", "on_host"))
     covered = marked.select(*node, F.when(F.col("valid"), letters).otherwise(0).alias("covered"), letters.alias("fixed"), F.col("valid").cast("int").alias("n"))
     slotted = marked.where(F.col("valid").isNull() & F.col("atom").rlike("[.!?]$") & (F.size(F.split("atom", " ")) >= SLOTTED))
     tokens = _joined(slotted.select(*node, "letters", "lang", "h", F.explode(_words_of("atom")).alias("word")), own, ["lang", "word"], "inner", "article_id")
@@ -304,14 +323,15 @@ def boilerplate_elements(articles: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def template_classes(articles: DataFrame, sites: DataFrame) -> DataFrame:
-    """(host, lang, stories, size, atoms array<string>): the valid classes of each host's template, and of those of hosts of few pages, whose host is null;
-    size: the class's tokens."""
+    """(host, lang, stories, size, atoms array<string>): the valid classes of the template that the hosts of a language share, whose host is null, and of each host's
+    what these don't hold; size: the class's tokens."""
     found, words = elements(articles, sites)
     atoms = occurrences(found)
-    hosts = cut(found.select("lang", "site_id").distinct().select(F.xxhash64("lang", "site_id").alias("unit"), F.col("site_id").alias("host")).dropDuplicates(["unit"]))
-    shown = _joined(atoms, template(atoms, words)[0], ["unit", "h"], "inner", "article_id").groupBy("unit", "lang", "cls", "stories", "h").agg(F.min("atom").alias("atom"), F.min("place").alias("place"))
-    classes = shown.groupBy("unit", "lang", "cls", "stories").agg(F.array_sort(F.collect_list(F.struct("place", "atom"))).alias("x"), F.sum(F.size(F.split("atom", " "))).alias("size"))
-    return _joined(classes, hosts, ["unit"], "left", "cls").select("host", "lang", "stories", "size", F.col("x.atom").alias("atoms"))
+    valid, _ = template(atoms, words)
+    shown = _joined(_with_units(atoms).select("unit", "h", "article_id", "atom", "place"), valid, ["unit", "h"], "inner", "article_id")
+    shown = shown.groupBy("unit", "host", "lang", "cls", "stories", "h").agg(F.min("atom").alias("atom"), F.min("place").alias("place"))
+    classes = shown.groupBy("unit", "host", "lang", "cls", "stories").agg(F.array_sort(F.collect_list(F.struct("place", "atom"))).alias("x"), F.sum(F.size(F.split("atom", " "))).alias("size"))
+    return classes.select("host", "lang", "stories", "size", F.col("x.atom").alias("atoms"))
 
 
 def main_bodies(articles: DataFrame, sites: DataFrame) -> DataFrame:

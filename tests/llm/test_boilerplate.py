@@ -152,3 +152,21 @@ def test_template(spark, articles):
     rows, _ = pages(120)
     classes = {tuple(r["atoms"]): r for r in B.template_classes(articles(rows), sites(spark)).collect()}
     assert ("Sport",) in classes and ("Latest",) in classes and classes["Latest",]["stories"] == 120 and classes["Latest",]["host"] is None
+
+
+def test_hosts_of_any_size_have_their_own_template_and_share_the_pools(spark, articles, monkeypatch):
+    """The bulletin stands on 5 of 30 stories of a small host, too few for the pool; the partner line on 2 of 200 stories of a large host, too few for that host, but on enough of the pool."""
+    monkeypatch.setattr(B, "POOL_SHARE", 0.1)
+    monkeypatch.setattr(B, "OWN_HOST", 150, raising=False)  # the size from which hosts were taken out of the pool
+    bulletin, partner = "<p>Bulletin delivered weekly.</p>", "<p>Partnerships welcomed everywhere.</p>"
+    pick, rows, wanted = random.Random(4), [], set()
+    for site, n, line, times in ((1, 30, bulletin, 5), (2, 200, partner, 2), (3, 30, partner, 28), (None, 2, partner, 2)):
+        for i in range(n):
+            key = (site or 9) * 1000 + i
+            parts = ["<h1>Title</h1>", f"<p>{body(pick)}</p>", *([line] if i < times else [])]
+            wanted |= {(key, 3)} if i < times and site else set()
+            rows.append({"article_id": key, "site_id": site, "title": f"t{key}", "content": "<p>x</p>", "plain_content": "<div>\n" + "\n".join(parts) + "\n</div>"})
+    sites = spark.createDataFrame([(k, f"Site{k}", "en") for k in (1, 2, 3)], "site_id int, site_name string, lang string")
+    assert {tuple(r) for r in B.boilerplate_elements(articles(rows), sites).collect()} == wanted
+    classes = {tuple(r["atoms"]): (r["host"], r["stories"]) for r in B.template_classes(articles(rows), sites).collect()}
+    assert classes == {("Bulletin delivered weekly.",): (1, 5), ("Partnerships welcomed everywhere.",): (None, 30)}
