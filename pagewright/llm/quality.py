@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,13 +27,15 @@ from pagewright.llm import garbled, markup
 from pagewright.llm.alphabet import bounded
 from pagewright.llm.lookalikes import consistent
 from pagewright.llm.residue import has_residue
-from pagewright.session import cut
+from pagewright.session import BROADCAST_ROWS, cut
 
 MIN_CHARS = 120
 #: Rounds of the fit, least variance of a standardised statistic, and weight of the examples beside the data.
 ROUNDS, LEAST_VARIANCE, EXAMPLE_WEIGHT = 6, 0.02, 1.0
 #: Labelled sentences of each language that examples of prose are made from, at most.
 EXAMPLE_SENTENCES = 40
+#: Parts that each word of a joined lexicon is spread over, so that no frequent word is one task's.
+SALTS = 16
 KINDS = ("prose", "list", "table", "junk")
 STATISTICS = (
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "sentence_rate", "end_punctuation",
@@ -190,8 +193,34 @@ def mapped(mixture: Mixture, x: np.ndarray, kinds: list[str]) -> Mixture:
     return mixture
 
 
-def common_words(lexicon: DataFrame) -> frozenset[str]:
-    return frozenset(w.lower() for _, w in bounded(lexicon.select("lang", "word").dropna(), "word"))
+def common_words(lexicon: DataFrame) -> frozenset[str] | DataFrame:
+    """All words of the lexicon in small letters: a set for every worker to hold or, where they are more than BROADCAST_ROWS, a written table (word) to be joined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": pd.Series([w.lower() for w in pdf["word"]], dtype=object)})
+
+    words = cut(lexicon.select("lang", "word").dropna().select("word").mapInPandas(run, "word string").distinct())
+    return words if words.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else frozenset(r["word"] for r in words.collect())
+
+
+def _common_among(texts: list[str], common: frozenset[str] | DataFrame) -> frozenset[str]:
+    """The common words, or those of them that the texts hold."""
+    if not isinstance(common, DataFrame):
+        return common
+    held = sorted({w for t in texts for w in _WORD.findall(t.lower())})
+    few = common.sparkSession.createDataFrame([(w,) for w in held], "word string")
+    return frozenset(r["word"] for r in common.join(F.broadcast(few), "word", "left_semi").collect())
+
+
+def _with_common_share(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """The texts with common_share counted by a join of held, their words, with the common ones, instead of held."""
+    rows = cut(texts.withColumn("_row", F.monotonically_increasing_id()))
+    held = rows.select("_row", F.explode("held").alias("x")).select("_row", "x.word", "x.n", F.pmod("_row", F.lit(SALTS)).cast("int").alias("_part"))
+    parts = common.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = held.join(parts, ["word", "_part"]).groupBy("_row").agg(F.sum("n").alias("hits"))
+    share = F.coalesce("hits", F.lit(0)).cast("double") / F.greatest("words", F.lit(1.0))
+    return rows.join(hits, "_row", "left").withColumn("common_share", share).select(*[c for c in texts.columns if c != "held"])
 
 
 @lru_cache(4)
@@ -210,9 +239,15 @@ def plain_lines(plain: str | None) -> list[str]:
     return [x for x in lines if x]
 
 
-def measured_texts(articles: DataFrame, common: frozenset[str], dictionaries: tuple, weights: tuple[bytes, bytes], every: bool) -> DataFrame:
+def measured_texts(articles: DataFrame, common: frozenset[str] | DataFrame, dictionaries: tuple, weights: tuple[bytes, bytes], every: bool) -> DataFrame:
     """(article_id, field, block_no, fitted, statistics...). fitted: blocks of MIN_CHARS or more that are neither code nor markup, of articles without
     residue. With every also all other blocks (field plain_text) and the whole text of each plain_content, whose block_no is null; else only fitted ones."""
+    joined = isinstance(common, DataFrame)
+    known = frozenset() if joined else common
+
+    def measured(t: str | None) -> tuple:
+        held = ([{"word": w, "n": n} for w, n in Counter(_WORD.findall((t or "").lower())).items()],) if joined else ()
+        return (*measure(t, known), *held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool, chain = garbled.restorer(dictionaries), markup._chain(*weights)
@@ -238,14 +273,17 @@ def measured_texts(articles: DataFrame, common: frozenset[str], dictionaries: tu
                     fitted = {i for i, t in enumerate(texts) if t and len(t) >= MIN_CHARS and i not in left_out}
                 for i, t in enumerate(texts):
                     if every or i in fitted:
-                        out.append((key, "plain_text", i, i in fitted, *measure(t and restored(t), common)))
+                        out.append((key, "plain_text", i, i in fitted, *measured(t and restored(t))))
                 if every:
-                    out.append((key, "plain_content", None, False, *measure("\n".join(map(restored, plain_lines(plain))), common)))
-            yield pd.DataFrame(out, columns=["article_id", "field", "block_no", "fitted", *STATISTICS]).astype({"block_no": "Int32", "fitted": bool})
+                    out.append((key, "plain_content", None, False, *measured("\n".join(map(restored, plain_lines(plain))))))
+            yield pd.DataFrame(out, columns=["article_id", "field", "block_no", "fitted", *STATISTICS, *(["held"] if joined else [])]).astype({"block_no": "Int32", "fitted": bool})
 
     rows = articles if every else articles.where(F.exists("plain_text", lambda b: F.length(b["text"]) >= MIN_CHARS))
     rows = rows.select("article_id", F.transform("plain_text", lambda b: b["text"]).alias("texts"), "plain_content", "content")
-    return rows.mapInPandas(run, "article_id bigint, field string, block_no int, fitted boolean, " + ", ".join(f"{s} double" for s in STATISTICS))
+    schema = "article_id bigint, field string, block_no int, fitted boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
+    if not joined:
+        return rows.mapInPandas(run, schema)
+    return _with_common_share(rows.mapInPandas(run, f"{schema}, held array<struct<word:string,n:int>>"), common)
 
 
 def fit_mixture(blocks: DataFrame, sentences: list[tuple[str, str]], common: frozenset[str], rounds: int = ROUNDS) -> Mixture:
@@ -280,7 +318,7 @@ def text_kinds(articles: DataFrame, samples: DataFrame, lexicon: DataFrame, ever
     sentences = bounded(samples.select("lang", "text").dropna(), "text")
     common = common_words(lexicon)
     texts = cut(measured_texts(articles, common, garbled.dictionaries_of(samples, lexicon), markup.fit_on(samples), every))
-    frozen = _frozen(fit_mixture(texts.where("fitted"), sentences, common))
+    frozen = _frozen(fit_mixture(texts.where("fitted"), sentences, _common_among([t for _, _, t in examples(sentences)], common)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = _mixture(frozen)

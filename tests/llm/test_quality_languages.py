@@ -147,3 +147,22 @@ def test_statistics_of_every_text(spark, articles, samples, lexicon, sentences):
     for key in ((52, "plain_text", 0), (52, "plain_text", 1), (50, "plain_content", None), (52, "plain_content", None)):
         assert all(got[key][s] == 0 for s in quality.STATISTICS)
     assert quality.text_kinds(articles(rows).limit(0), samples, lexicon).count() == 0
+
+
+def test_common_words_of_a_lexicon_of_any_size(spark, articles, samples, lexicon, sentences, monkeypatch):
+    many = spark.range(10_500).selectExpr("'en' AS lang", "concat('Word', id) AS word")
+    assert quality.common_words(many) == {f"word{i}" for i in range(10_500)}
+    text = " ".join(sentences["en"])
+    plain = f"<div>\n<p>{text}</p>\n<p>Tom &amp; Ann</p>\n</div>"
+    rows = [{"article_id": i, "content": "<p>x</p>", "plain_content": plain, "plain_text": [text, "- " * 90, sentences["ru"][i % 3], None]} for i in range(20)]
+    rows += [rows[0], {"article_id": 50}, {"article_id": 51, "plain_text": [""]}]
+
+    def told():
+        found = quality.text_kinds(articles(rows), samples, lexicon).collect()
+        return sorted((r["article_id"], r["field"], -1 if r["block_no"] is None else r["block_no"], r["kind"] or "", *(r[s] for s in quality.STATISTICS)) for r in found)
+
+    held = told()
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 3)
+    assert not isinstance(quality.common_words(lexicon), frozenset)
+    assert told() == held and len(held) == 21 * 5 + 1 + 2 and any(r[4 + quality.STATISTICS.index("common_share")] > 0.9 for r in held)
+    assert quality.text_kinds(articles(rows).limit(0), samples, lexicon).count() == 0
